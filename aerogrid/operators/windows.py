@@ -177,7 +177,6 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFr
 def rows_at_latest(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows at the table-wide latest timestamp.
 
-    The max is a one-row aggregate joined back by broadcast (size is one row).
+    The max is a scalar subquery: a filter on the scan, no join.
     """
-    mx = df.agg(F.max(ts).alias("_mx"))
-    return df.join(F.broadcast(mx), F.col(ts) == F.col("_mx"), "left_semi")
+    return df.where(F.col(ts) == df.select(F.max(ts)).scalar())
