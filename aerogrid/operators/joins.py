@@ -164,9 +164,12 @@ def assign_chunks(obs: DataFrame, end, hours: int, n: int, ts: str = "ts") -> Da
     d = F.unix_micros(end_col.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     c = F.floor(d / h_us)
     on_border = (d == c * h_us) & (c >= 1)
-    cands = F.filter(F.array(c, F.when(on_border, c - 1)), lambda x: x.isNotNull())
-    out = obs.drop("chunk_no").withColumn("chunk_no", F.explode(cands).cast("int"))
-    return out.where((d >= 0) & (F.col("chunk_no") < n) & (F.col("chunk_no") >= 0))
+    # candidates exploded, NULL (not on a border) dropped after: no lambda, so
+    # ``end`` may itself be a scalar subquery
+    cands = F.array(c.cast("int"), F.when(on_border, c - 1).cast("int"))
+    out = obs.drop("chunk_no").withColumn("chunk_no", F.explode(cands))
+    return out.where(F.col("chunk_no").isNotNull() & (d >= 0) & (F.col("chunk_no") < n)
+                     & (F.col("chunk_no") >= 0))
 
 
 def chunk_windows(spark, end, hours: int, n: int) -> DataFrame:

@@ -21,7 +21,7 @@ def matching_columns(df: DataFrame, patterns: Sequence[str]) -> list[str]:
 
 def select_matching(df: DataFrame, patterns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Project the matching columns (P2) -- column pruning reaches the scan."""
-    return df.select(*matching_columns(df, patterns), *keep)
+    return df.select(*[F.col(f"`{c}`") for c in [*keep, *matching_columns(df, patterns)]])
 
 
 def where_matching(long: DataFrame, col: str, patterns: Sequence[str]) -> DataFrame:

@@ -167,10 +167,14 @@ def tail_per_key(df: DataFrame, keys: Sequence[str], ts: str, k: int) -> DataFra
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Newest row per key (W7): grouped ``max_by``, partial before the shuffle."""
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Newest row per key (W7): grouped ``max_by``, partial before the shuffle.
+
+    ``order`` breaks ties (e.g. ``("ts", "seq")`` = last arrival at the newest time).
+    """
     rest = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.col(ts)).alias("_r"))
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]),
+                                         F.struct(*[F.col(c) for c in order])).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 

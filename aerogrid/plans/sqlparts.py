@@ -44,4 +44,26 @@ def wide_sql(src: str) -> str:
     return f"SELECT ts, {cols} FROM ({src}) w GROUP BY ts"
 
 
-__all__ = ["OBS_SQL", "STATIONS_SQL", "SERIES_SQL", "DEDUP_SQL", "GRID_SQL", "FILLED_SQL", "r6", "wide_sql"]
+
+
+
+def norm_sql(expr: str) -> str:
+    """SQL twin of ``normalise_pollutant``."""
+    return (f"replace(replace({expr}, '{K.PM_LONG_PREFIX}', '{K.PM_SHORT_PREFIX}'), "
+            f"'{K.MICRON_SUFFIX}', '')")
+
+
+def hist_sql(T: int = K.TRAINING_HOURS) -> str:
+    """SQL twin of ``history``: last T grid timestamps, hour_1 = oldest."""
+    return f"""
+SELECT f.indicator || '_' || f.station AS feature, {norm_sql('f.indicator')} AS pollutant,
+       f.station AS station, 'hour_' || CAST({T + 1} - t.rn AS VARCHAR) AS hour,
+       f.ts AS timestamp, f.value AS value
+FROM ({FILLED_SQL}) f
+JOIN (SELECT ts, row_number() OVER (ORDER BY ts DESC) AS rn
+      FROM (SELECT DISTINCT ts FROM ({GRID_SQL}) g0) d) t ON f.ts = t.ts
+WHERE t.rn <= {T}
+"""
+
+
+HIST_SQL = hist_sql()
