@@ -255,3 +255,9 @@ def q_m16(spark, sf_dir):
     wide = A.to_wide(filled(spark, sf_dir), testbed_series())
     lo = wide.select(F.max("ts") - F.make_dt_interval(F.lit(0), F.lit(K.PREDICT_WINDOW_HOURS))).scalar()
     return M.data_status({"training": wide, "prediction": wide.where(F.col("ts") > lo)})
+
+
+@register("entry_flagship")
+def q_entry(spark, sf_dir):
+    """Flagship: gap-filled series -> Lasso forecast -> summary per pollutant x station."""
+    return A.forecast_summary(forecast_of(spark, sf_dir))

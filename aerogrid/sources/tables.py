@@ -30,7 +30,8 @@ def _format_of(path: str) -> str:
     raise ValueError(f"Unsupported file format: {path}")
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
+               options: dict | None = None) -> DataFrame:
     """Read a Parquet or CSV table by suffix.
 
     * unknown suffix -> ``ValueError``
@@ -46,6 +47,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
     if fmt == "parquet":
         return reader.parquet(path)
     # CSV: header row; schema inference only when no schema is given.
