@@ -15,6 +15,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, MapType, StringType, Struc
 from aerogrid import constants as K
 from aerogrid.functions import scalars as S
 from aerogrid.operators.aggregates import regression_metrics
+from aerogrid.operators.project import require_nonempty
 from aerogrid.operators.windows import rows_at_latest
 from aerogrid.plans.lasso import coef_arrays, fit_lasso, predict
 from aerogrid.plans.samples import (build_samples, fit_scaler, require_samples, scale,
@@ -56,6 +57,7 @@ def train(spark: SparkSession, filled: DataFrame, series: Sequence[tuple[str, st
     executor loss); every later step reads them.
     """
     series = list(series)
+    require_nonempty(filled, "training data")
     samples = cut_lineage(build_samples(filled, series, T, n))
     N = require_samples(samples)
     split = time_split(samples, N)
