@@ -38,6 +38,9 @@ def fill_gaps(dense: DataFrame, keys: Sequence[str] = ("station", "indicator"),
     (series, block) with its last / first non-null value; (3) carry across
     blocks with a window over those summaries; (4) join the carry back on
     (series, block), which the step-1 partitioning already co-locates.
+
+    The input is read by both branches: pass a landed (checkpointed or
+    table-backed) frame so its upstream work is not done twice.
     """
     keys = list(keys)
     order_cols = [ts, *order]

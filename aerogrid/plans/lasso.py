@@ -4,8 +4,9 @@ Objective per target t:  (1 / 2N) ||y_t - b_t - X w_t||^2 + alpha ||w_t||_1
 with a free intercept, i.e. the scikit-learn ``Lasso`` objective.
 
 Fit = one pass over the samples: each partition forms its sufficient
-statistics (n, sum x, sum y, X'X, X'Y) with NumPy in ``mapInPandas``; they are
-summed by a grouped aggregate (partial per map task).  The d x (d + t) result
+statistics (n, sum x, sum y, X'X, X'Y) with NumPy in ``mapInPandas``; matrix
+rows are then summed per row index (one group per row, holding one partial
+per map partition).  The d x (d + t) result
 is bounded by the model width, not by the data.  The per-target coordinate
 descent then runs in ``applyInPandas`` (one group per target) with the Gram
 matrix shipped as a broadcast variable.
@@ -16,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 MAX_WIDTH = 4096  # d and t bound for the broadcast Gram (4096^2 doubles = 128 MiB)
@@ -54,14 +54,17 @@ def sufficient_stats(train: DataFrame, d: int, t: int, x: str = "x", y: str = "y
         rows += [(i, full[i].tolist()) for i in range(d)]
         yield pd.DataFrame(rows, columns=["i", "vals"])
 
+    def add_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one row per map partition for this matrix row: sum them element-wise
+        total = np.sum(_stack(pdf["vals"]), axis=0)
+        return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "vals": [total.tolist()]})
+
     parts = train.select(x, y).mapInPandas(part, "i int, vals array<double>")
-    summed = (parts.select("i", F.posexplode("vals").alias("j", "v"))
-              .groupBy("i", "j").agg(F.sum("v").alias("v")))
+    summed = parts.groupBy("i").applyInPandas(add_rows, "i int, vals array<double>")
     pdf = summed.toPandas()
-    head = pdf[pdf.i == -1].sort_values("j")["v"].to_numpy()
-    body = pdf[pdf.i >= 0]
-    mat = np.zeros((d, d + t))
-    mat[body.i.to_numpy(), body.j.to_numpy()] = body.v.to_numpy()
+    rows = {int(i): np.asarray(v, dtype=np.float64) for i, v in zip(pdf["i"], pdf["vals"])}
+    head = rows[-1]
+    mat = np.vstack([rows[i] for i in range(d)])
     n = int(round(head[0]))
     return {"n": n, "sx": head[1:1 + d], "sy": head[1 + d:1 + d + t],
             "xtx": mat[:, :d], "xty": mat[:, d:]}

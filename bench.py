@@ -56,7 +56,8 @@ def main() -> None:
     obs = load_obs(spark, sf_dir, grain)
     timed("a1_dedup", lambda: run(dedup_first(obs, keys)))
     # the filled grid feeds the model steps: land it once (reliable checkpoint)
-    filled = timed("w1w2_densify_fill", lambda: cut_lineage(fill_gaps(densify(dedup_first(obs, keys), series))))
+    filled = timed("w1w2_densify_fill", lambda: cut_lineage(fill_gaps(cut_lineage(
+        densify(dedup_first(obs, keys), series)))))
     timed("a8_wide", lambda: run(to_wide(filled, series)))
     idx = dense_index(filled, "ts")
     timed("w4_lag_window", lambda: run(window_arrays(filled.join(idx, "ts"), ["station", "indicator"], "idx",
