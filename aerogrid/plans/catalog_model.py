@@ -4,6 +4,7 @@ predict, metrics, registry, forecast and the forecast document."""
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from aerogrid.plans.catalog_core import filled
 from aerogrid.plans.lasso import predict
 from aerogrid.plans.samples import build_samples, fit_scaler, scale, scaler_arrays, time_split
 from aerogrid.plans.sqlparts import FILLED_SQL, HIST_SQL, r6, wide_sql
-from aerogrid.session import scratch_path
+from aerogrid.session import cut_lineage, scratch_path
 from aerogrid.sources import sinks
 from aerogrid.sources.testbed import testbed_series
 
@@ -161,14 +162,21 @@ def weekly_registry(spark, sf_dir, weeks: int = 3) -> str:
     key = ("registry", spark.sparkContext.applicationId, sf_dir)
     if key in _MODELS:
         return _MODELS[key]
-    f = filled(spark, sf_dir)
+    f = cut_lineage(filled(spark, sf_dir), "filled")
     end = f.select(F.max("ts")).first()[0]
     root = scratch_path(spark, "registry")
-    for w in range(weeks):
+
+    def run_week(w: int):
         w_end = end - dt.timedelta(hours=K.CHUNK_HOURS * w)
         w_start = w_end - dt.timedelta(hours=K.CHUNK_HOURS * K.TRAIN_CHUNKS)
         part = f.where(F.col("ts").between(F.lit(w_start), F.lit(w_end)))
         m = M.train(spark, part, testbed_series(), T, N_STEPS, K.LASSO_ALPHA, run_id=f"week-{weeks - w:03d}")
+        return w, w_end, m
+
+    # independent runs: submitted from driver threads, Spark schedules them together
+    with ThreadPoolExecutor(max_workers=weeks) as pool:
+        results = list(pool.map(run_week, range(weeks)))
+    for w, w_end, m in results:
         stage = K.STAGE_NONE if w == 0 else (K.STAGE_PRODUCTION if w == 1 else "Archived")
         created = int(w_end.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
         R.save_model(spark, m, root, version=weeks - w, stage=stage, created_ms=created)

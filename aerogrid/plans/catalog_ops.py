@@ -221,9 +221,9 @@ def q_j2(spark, sf_dir):
 
 @register("j6_with_threshold", f"""
 SELECT pollutant, station, hour, timestamp, value,
-       CASE WHEN pollutant = 'Nitrogen dioxide' THEN 10.0 WHEN pollutant = 'PM10' THEN 15.0
+       CAST(CASE WHEN pollutant = 'Nitrogen dioxide' THEN 10.0 WHEN pollutant = 'PM10' THEN 15.0
             WHEN pollutant = 'PM2.5' THEN 5.0 WHEN contains(pollutant, 'PM10') THEN 15.0
-            WHEN contains(pollutant, 'PM2.5') THEN 5.0 END AS threshold
+            WHEN contains(pollutant, 'PM2.5') THEN 5.0 END AS DOUBLE) AS threshold
 FROM ({HIST_SQL}) h""")
 def q_j6(spark, sf_dir):
     return J.with_threshold(hist(spark, sf_dir).drop("feature"))
@@ -486,7 +486,7 @@ def q_f1(spark, sf_dir):
     return d.select("ts", *[rnd(c).alias(n) for c, n in zip(feats, K.TIME_FEATURES)])
 
 
-@register("f2_hour_weekday", "SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS weekday FROM events")
+@register("f2_hour_weekday", "SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, isodow(ts) - 1 AS weekday FROM events")
 def q_f2(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", S.hour_of("ts").alias("hour"), S.weekday_of("ts").cast("bigint").alias("weekday"))
