@@ -188,7 +188,9 @@ def decode_multipoint(raw_docs: DataFrame, strict: bool = False) -> DataFrame:
     step = base.select("doc_id", "chunk_no", "vals", "labels", "uoms", lats.alias("lats"), lons.alias("lons"),
                        times.alias("times"), F.map_from_arrays(pkeys, F.col("pnames")).alias("loc2name"))
     n_rows, n_f = F.size("times"), F.size("labels")
-    checked = step.where(S.check_reshape(F.col("vals"), n_rows, n_f))
+    # the shape check is a projected expression, not a filter: a filter would
+    # be pushed below the parse and re-run the XPath evaluation inside it
+    checked = step.withColumn("vals", F.when(S.check_reshape(F.col("vals"), n_rows, n_f), F.col("vals")))
     # *_outer: a plain explode makes the optimizer infer ``size(times) > 0``
     # and push it below this projection, re-evaluating the parse there
     rows = checked.select("doc_id", "chunk_no", "vals", "labels", "uoms", "loc2name", F.size("labels").alias("nf"),
