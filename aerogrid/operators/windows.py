@@ -89,11 +89,13 @@ def require_no_empty_series(filled: DataFrame, keys: Sequence[str] = ("station",
 
 
 def ffill_table(df: DataFrame, cols: Sequence[str], ts: str = "ts", tiebreak: Sequence[str] = (),
-                block: str = DEFAULT_BLOCK) -> DataFrame:
+                block: str = "hour") -> DataFrame:
     """Table-wide forward fill after sorting by time only (W3, kept for parity).
 
     Values leak across stations, as in the original.  Runs blocked like
-    ``fill_gaps`` with no series key, so no single-partition window.
+    ``fill_gaps`` with no series key; hour blocks keep one window partition
+    to the rows of one hour (bounded by the number of stations), and only the
+    one-row-per-hour summaries are ordered without a partition key.
     """
     out = df
     for c in cols:
