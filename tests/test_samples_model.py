@@ -93,3 +93,25 @@ def test_history_block(spark, pollution_wide):
     first = [r for r in h if r.hour == "hour_1" and r.pollutant == "Nitrogen dioxide"][0]
     assert first.timestamp == dt.datetime(2024, 1, 4, 4, 0)
     assert first.value == pytest.approx(20.5 + 0.1 * 76)
+
+
+def test_fit_lasso_matches_mllib(spark):
+    """Same objective as MLlib LinearRegression(elasticNetParam=1, standardization=False)."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import LinearRegression
+
+    from aerogrid.plans.lasso import coef_arrays, fit_lasso
+
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(300, 6))
+    Y = np.stack([X[:, 0] * 2.0 - X[:, 2] + 0.3 * rng.normal(size=300),
+                  X[:, 1] * -1.5 + 5.0 + 0.3 * rng.normal(size=300)], axis=1)
+    rows = [([float(v) for v in x], [float(v) for v in y]) for x, y in zip(X, Y)]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>")
+    W, b = coef_arrays(fit_lasso(spark, df, d=6, t=2, alpha=0.1))
+    for t in range(2):
+        ml = spark.createDataFrame([(Vectors.dense(x), float(y[t])) for x, y in zip(X, Y)], ["features", "label"])
+        m = LinearRegression(elasticNetParam=1.0, regParam=0.1, standardization=False, tol=1e-12,
+                             maxIter=1000).fit(ml)
+        assert np.max(np.abs(np.asarray(m.coefficients) - W[t])) < 1e-4
+        assert abs(m.intercept - b[t]) < 1e-4
