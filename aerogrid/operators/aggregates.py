@@ -138,22 +138,17 @@ def regression_metrics(pairs: DataFrame, target: str = "target", y: str = "y",
     when the fit is exact, else 0.
     """
     err = F.col(y) - F.col(yhat)
+    # one pass: SStot = n * var_pop(y), which Spark merges with a stable
+    # (Welford/Chan) update, so no second pass over centred values is needed
     per_target = pairs.groupBy(target).agg(
         F.sum(err * err).alias("ss_res"),
-        F.sum(F.col(y)).alias("s_y"),
-        F.sum(F.col(y) * F.col(y)).alias("s_yy"),
+        (F.var_pop(F.col(y)) * F.count(F.lit(1))).alias("ss_tot"),
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.abs(err)).alias("s_abs"),
-        F.avg(F.col(y)).alias("m_y"))
-    # SStot from the centred second pass would need another scan; a per-target
-    # two-pass is done instead by joining the mean back.
-    ss_tot = (pairs.join(per_target.select(target, "m_y"), target)
-              .groupBy(target).agg(F.sum((F.col(y) - F.col("m_y")) ** 2).alias("ss_tot")))
-    r2 = (per_target.join(ss_tot, target)
-          .select(target, "ss_res", "n", "s_abs",
-                  F.when(F.col("ss_tot") == 0,
-                         F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-                  .otherwise(F.lit(1.0) - F.col("ss_res") / F.col("ss_tot")).alias("r2")))
+        F.sum(F.abs(err)).alias("s_abs"))
+    r2 = per_target.select(
+        target, "ss_res", "n", "s_abs",
+        F.when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        .otherwise(F.lit(1.0) - F.col("ss_res") / F.col("ss_tot")).alias("r2"))
     tot = r2.agg(F.sum("s_abs").alias("s_abs"), F.sum("ss_res").alias("ss_res"),
                  F.sum("n").alias("n"), F.avg("r2").alias("r2_score"))
     return tot.select((F.col("s_abs") / F.col("n")).alias("mae"),

@@ -104,18 +104,24 @@ def ffill_table(df: DataFrame, cols: Sequence[str], ts: str = "ts", tiebreak: Se
     return out
 
 
-def dense_index(df: DataFrame, ts: str = "ts", block: str = "day", name: str = "idx") -> DataFrame:
-    """Number the distinct timestamps 0..N-1 in time order.
+def with_row_index(rows: DataFrame, ts: str = "ts", block: str = "day", name: str = "idx") -> DataFrame:
+    """Attach the time-order index 0..N-1 to a frame unique on ``ts``.
 
     Row numbers are taken per day, then offset by the running count of earlier
-    days (a window over one row per day).  Returns ``(ts, idx)``.
+    days; the only unpartitioned window runs over one row per day.
     """
-    d = df.select(ts).distinct().withColumn("_b", F.date_trunc(block, F.col(ts)))
-    local = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(ts)) - 1)
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    b = rows.withColumn("_b", F.date_trunc(block, F.col(ts)))
+    local = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(ts)) - 1)
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(UNB, -1)),
                                           F.lit(0)).alias("_off"))
-    return local.join(offs, "_b").select(ts, (F.col("_off") + F.col("_r")).cast("long").alias(name))
+    return local.join(offs, "_b").withColumn(name, (F.col("_off") + F.col("_r")).cast("long")).drop(
+        "_b", "_r", "_off")
+
+
+def dense_index(df: DataFrame, ts: str = "ts", block: str = "day", name: str = "idx") -> DataFrame:
+    """``(ts, idx)`` for the distinct timestamps of a frame."""
+    return with_row_index(df.select(ts).distinct(), ts, block, name)
 
 
 def window_arrays(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str],

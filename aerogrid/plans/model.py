@@ -18,8 +18,9 @@ from aerogrid.operators.aggregates import regression_metrics
 from aerogrid.operators.project import require_nonempty
 from aerogrid.operators.windows import rows_at_latest
 from aerogrid.plans.lasso import coef_arrays, fit_lasso, predict
+from aerogrid.operators.windows import with_row_index
 from aerogrid.plans.samples import (build_samples, fit_scaler, require_samples, scale,
-                                    scaler_arrays, time_split, wide_rows, with_row_index)
+                                    scaler_arrays, time_split, wide_rows)
 from aerogrid.session import cut_lineage
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerogrid import constants as K
 from aerogrid.functions.scalars import cyclic_time_features, series_key
-from aerogrid.operators.windows import UNB, window_arrays
+from aerogrid.operators.aggregates import column_stats
+from aerogrid.operators.windows import window_arrays, with_row_index
 
 
 def features_table(spark: SparkSession, series: Sequence[tuple[str, str]]) -> DataFrame:
@@ -44,21 +45,6 @@ def wide_rows(filled: DataFrame, series: Sequence[tuple[str, str]], ts: str = "t
             F.raise_error(F.concat(F.lit("incomplete row at "), F.col(ts).cast("string")))))
 
 
-def with_row_index(rows: DataFrame, ts: str = "ts", block: str = "day", name: str = "idx") -> DataFrame:
-    """Attach the time-order index to a frame unique on ``ts``.
-
-    Row numbers per day plus the running count of earlier days; the only
-    unpartitioned window runs over one row per day.
-    """
-    b = rows.withColumn("_b", F.date_trunc(block, F.col(ts)))
-    local = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(ts)) - 1)
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(UNB, -1)),
-                                          F.lit(0)).alias("_off"))
-    return local.join(offs, "_b").withColumn(name, (F.col("_off") + F.col("_r")).cast("long")).drop(
-        "_b", "_r", "_off")
-
-
 def build_samples(filled: DataFrame, series: Sequence[tuple[str, str]], T: int = K.TRAINING_HOURS,
                   n: int = K.N_STEPS, ts: str = "ts", block_rows: int = 256) -> DataFrame:
     """``samples(sample_id, ts, x array<double>, y array<double>)`` (M1).
@@ -101,9 +87,7 @@ def fit_scaler(train: DataFrame, x: str = "x") -> DataFrame:
     map task, a numerically stable merge, d output rows.
     """
     ex = train.select(F.posexplode(x).alias("idx", "v"))
-    return ex.groupBy("idx").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("_sd")).select(
-        F.col("idx").cast("int").alias("idx"), "mean",
-        F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd")).alias("std"))
+    return column_stats(ex, "idx", "v")
 
 
 def scaler_arrays(scaler: DataFrame) -> tuple[list[float], list[float]]:
