@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from aerogrid.session import ship_package
+
 MAX_WIDTH = 4096  # d and t bound for the broadcast Gram (4096^2 doubles = 128 MiB)
 
 
@@ -30,6 +32,7 @@ def sufficient_stats(train: DataFrame, d: int, t: int, x: str = "x", y: str = "y
     """Sums over all training samples; returns NumPy arrays on the driver."""
     if d > MAX_WIDTH or t > MAX_WIDTH:
         raise ValueError(f"model too wide for a broadcast Gram: d={d}, t={t}")
+    ship_package(train.sparkSession)
 
     def part(it):
         n = 0
@@ -115,6 +118,7 @@ def coordinate_descent(G: np.ndarray, c: np.ndarray, lam: float, tol: float = 1e
 def fit_lasso(spark: SparkSession, train: DataFrame, d: int, t: int, alpha: float = 1.0,
               x: str = "x", y: str = "y") -> DataFrame:
     """``model_coef(target int, intercept double, coef array<double>)`` (M4)."""
+    ship_package(spark)
     st = sufficient_stats(train, d, t, x, y)
     n = st["n"]
     if n == 0:
@@ -156,6 +160,7 @@ def coef_arrays(coef: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def predict(spark: SparkSession, samples: DataFrame, W: np.ndarray, b: np.ndarray, x: str = "x",
             out: str = "yhat") -> DataFrame:
     """yhat = X W' + b per partition with NumPy (M5); model shipped by broadcast."""
+    ship_package(spark)
     bW = spark.sparkContext.broadcast((W, b))
     schema = StructType([*samples.schema.fields, StructField(out, ArrayType(DoubleType()))])
 
