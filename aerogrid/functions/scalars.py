@@ -20,6 +20,21 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def ts_lit(v) -> Column:
+    """A ``timestamp_ntz`` literal from a datetime, date or ISO text.
+
+    Goes through text, so no time zone is involved: a naive ``datetime``
+    handed to ``F.lit`` is read in the Python process's local zone.
+    Columns pass through unchanged.
+    """
+    if isinstance(v, Column):
+        return v
+    if v is None:
+        return F.lit(None).cast("timestamp_ntz")
+    text = v.isoformat(sep=" ") if hasattr(v, "hour") else (v.isoformat() if hasattr(v, "isoformat") else str(v))
+    return F.lit(text).cast("timestamp_ntz")
+
+
 # -- F2 / F1: calendar parts and cyclic encoding ------------------------------
 
 def hour_of(ts) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid import constants as K
+from aerogrid.functions.scalars import ts_lit
 
 BROADCAST_MAX_ROWS = 1_000_000
 MAX_SERIES = 20_000
@@ -159,7 +160,7 @@ def assign_chunks(obs: DataFrame, end, hours: int, n: int, ts: str = "ts") -> Da
     c = floor((end - ts) / h), plus c - 1 when the row sits exactly on a
     border.  Rows after ``end`` or before the oldest chunk are dropped.
     """
-    end_col = F.lit(end).cast("timestamp_ntz") if not isinstance(end, Column) else end
+    end_col = ts_lit(end)
     h_us = F.lit(int(hours) * 3600 * 1_000_000)
     d = F.unix_micros(end_col.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     c = F.floor(d / h_us)
@@ -174,7 +175,7 @@ def assign_chunks(obs: DataFrame, end, hours: int, n: int, ts: str = "ts") -> Da
 
 def chunk_windows(spark, end, hours: int, n: int) -> DataFrame:
     """``n`` back-to-back windows of ``hours`` ending at ``end``."""
-    end_col = F.lit(end).cast("timestamp_ntz") if not isinstance(end, Column) else end
+    end_col = ts_lit(end)
     r = spark.range(n).select(F.col("id").cast("int").alias("chunk_no"))
     return r.select("chunk_no",
                     (end_col - F.make_dt_interval(F.lit(0), (F.col("chunk_no") + 1) * hours)).alias("start"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from aerogrid.functions.scalars import ts_lit
+
 
 def select_indicators(obs: DataFrame, names: Sequence[str], indicator: str = "indicator") -> DataFrame:
     """Keep a fixed indicator list (P1); pushed to the scan as an IN filter."""
@@ -54,18 +56,14 @@ def coerce_ts(df: DataFrame, col: str = "ts", lenient: bool = False, fmt: str |
 
 def time_range(df: DataFrame, lo, hi, ts: str = "ts") -> DataFrame:
     """Both ends inclusive (P7); a literal range is pushed into the Parquet scan."""
-    lo_c = F.lit(lo).cast("timestamp_ntz") if not isinstance(lo, Column) else lo
-    hi_c = F.lit(hi).cast("timestamp_ntz") if not isinstance(hi, Column) else hi
+    lo_c, hi_c = ts_lit(lo), ts_lit(hi)
     return df.where((F.col(ts) >= lo_c) & (F.col(ts) <= hi_c))
 
 
 def lookback(end, start=None, minutes: int = 100) -> tuple[Column, Column]:
     """Default look-back window: ``start`` or ``end - minutes`` (P10)."""
-    end_c = F.lit(end).cast("timestamp_ntz") if not isinstance(end, Column) else end
-    if start is None:
-        start_c = F.lit(None).cast("timestamp_ntz")
-    else:
-        start_c = F.lit(start).cast("timestamp_ntz") if not isinstance(start, Column) else start
+    end_c = ts_lit(end)
+    start_c = ts_lit(start)
     return F.coalesce(start_c, end_c - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))), end_c
 
 

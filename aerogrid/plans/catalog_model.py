@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aerogrid import constants as K
 from aerogrid.catalog import register
+from aerogrid.functions import scalars as S
 from aerogrid.operators import aggregates as A
 from aerogrid.plans import model as M
 from aerogrid.plans import registry as R
@@ -135,7 +136,7 @@ def q_m5(spark, sf_dir):
     m = trained(spark, sf_dir)
     _, split = _train_part(spark, sf_dir)
     va = split.where(F.col("is_validation")).drop("is_validation")
-    pred = predict(spark, scale(va, m.mean, m.std), m.W, m.b)
+    pred = predict(spark, va, m.W, m.b, mean=m.mean, std=m.std)
     return M.prediction_pairs(pred)
 
 
@@ -169,7 +170,7 @@ def weekly_registry(spark, sf_dir, weeks: int = 3) -> str:
     def run_week(w: int):
         w_end = end - dt.timedelta(hours=K.CHUNK_HOURS * w)
         w_start = w_end - dt.timedelta(hours=K.CHUNK_HOURS * K.TRAIN_CHUNKS)
-        part = f.where(F.col("ts").between(F.lit(w_start), F.lit(w_end)))
+        part = f.where(F.col("ts").between(S.ts_lit(w_start), S.ts_lit(w_end)))
         m = M.train(spark, part, testbed_series(), T, N_STEPS, K.LASSO_ALPHA, run_id=f"week-{weeks - w:03d}")
         return w, w_end, m
 

@@ -17,10 +17,8 @@ from aerogrid.functions import scalars as S
 from aerogrid.operators.aggregates import regression_metrics
 from aerogrid.operators.project import require_nonempty
 from aerogrid.operators.windows import rows_at_latest
-from aerogrid.plans.lasso import coef_arrays, fit_lasso, predict
-from aerogrid.operators.windows import with_row_index
-from aerogrid.plans.samples import (build_samples, fit_scaler, require_samples, scale,
-                                    scaler_arrays, time_split, wide_rows)
+from aerogrid.plans.lasso import coef_arrays, fit_scaled_lasso, predict
+from aerogrid.plans.samples import build_samples, require_samples, time_split, wide_rows
 from aerogrid.session import cut_lineage
 
 
@@ -64,11 +62,11 @@ def train(spark: SparkSession, filled: DataFrame, series: Sequence[tuple[str, st
     split = time_split(samples, N)
     tr = split.where(~F.col("is_validation")).drop("is_validation")
     va = split.where(F.col("is_validation")).drop("is_validation")
-    mean, std = scaler_arrays(fit_scaler(tr))
-    d, t = len(mean), n * len(series)
-    coef = fit_lasso(spark, scale(tr, mean, std), d, t, alpha)
+    d, t = T * len(series) + len(K.TIME_FEATURES), n * len(series)
+    # scaler (A13) and scaled fit (M3, M4) from one moment pass over the train part
+    mean, std, coef = fit_scaled_lasso(spark, tr, d, t, alpha)
     W, b = coef_arrays(coef)
-    pred = predict(spark, scale(va, mean, std), W, b)
+    pred = predict(spark, va, W, b, mean=mean, std=std)
     m = regression_metrics(prediction_pairs(pred)).collect()[0].asDict()
     n_val = N // (K.N_SPLITS + 1)
     m.update(training_samples=float(N - n_val), validation_samples=float(n_val))
@@ -81,13 +79,28 @@ def metrics_frame(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "run_id string, metric string, value double")
 
 
+def tail_timestamps(filled: DataFrame, k: int, ts: str = "ts") -> list:
+    """The last ``k`` distinct timestamps, oldest first (at most ``k`` values).
+
+    Distinct timestamps (partial aggregate) -> top k (TakeOrdered): only the
+    tail is ever ordered, and only ``k`` values reach the driver.
+    """
+    top = filled.select(ts).distinct().orderBy(F.col(ts).desc()).limit(k).collect()
+    return sorted(r[0] for r in top)
+
+
+def _tail(filled: DataFrame, stamps: list, ts: str) -> DataFrame:
+    # a literal lower bound: the filter reaches the Parquet scan
+    return filled.where(F.col(ts) >= S.ts_lit(stamps[0])) if stamps else filled.limit(0)
+
+
 def latest_rows(filled: DataFrame, series: Sequence[tuple[str, str]], k: int, ts: str = "ts") -> DataFrame:
-    """The last ``k`` wide rows (by time index) with their index.
+    """The last ``k`` wide rows (by time order): ``(ts, vec)``.
 
-    ``idx > (max(idx) - k)`` as a scalar subquery: a filter, not a join.
+    The tail start is found first; the filter on ``ts`` then reaches the
+    scan, so only the last ``k`` timestamps are assembled.
     """
-    rows = with_row_index(wide_rows(filled, series, ts), ts)
-    return rows.where(F.col("idx") > rows.select(F.max("idx") - k).scalar())
+    return wide_rows(_tail(filled, tail_timestamps(filled, k, ts), ts), series, ts)
 
 
 def forecast(spark: SparkSession, filled: DataFrame, model: Model, at=None, ts: str = "ts") -> DataFrame:
@@ -99,13 +112,13 @@ def forecast(spark: SparkSession, filled: DataFrame, model: Model, at=None, ts:
     """
     T, n, nf = model.T, model.n, len(model.series)
     win = latest_rows(filled, model.series, T, ts)
-    row = win.agg(F.array_sort(F.collect_list(F.struct("idx", "vec", ts))).alias("w"),
+    row = win.agg(F.array_sort(F.collect_list(F.struct(ts, "vec"))).alias("w"),
                   F.max(ts).alias("last_ts"))
     row = row.where(F.size("w") == T)
     x = F.concat(F.flatten(F.transform("w", lambda s: s["vec"])), F.array(*S.cyclic_time_features("last_ts")))
     inp = row.select(F.lit(0).cast("long").alias("sample_id"), "last_ts", x.alias("x"))
-    pred = predict(spark, scale(inp, model.mean, model.std), model.W, model.b)
-    at_col = F.col("last_ts") if at is None else F.lit(at).cast("timestamp_ntz")
+    pred = predict(spark, inp, model.W, model.b, mean=model.mean, std=model.std)
+    at_col = F.col("last_ts") if at is None else S.ts_lit(at)
     feats = F.array(*[F.lit(f) for f in model.features])
     ex = pred.select(at_col.alias("at"), F.posexplode("yhat").alias("t", "value"))
     step = S.target_step(F.col("t"), F.lit(nf))
@@ -123,11 +136,10 @@ def history(filled: DataFrame, series: Sequence[tuple[str, str]], T: int = K.TRA
     Long output ``(feature, pollutant, station, hour, timestamp, value)``;
     ``hour_1`` is the oldest of the T rows.
     """
-    idx = with_row_index(filled.select(ts).distinct(), ts)
-    lo = idx.select(F.max("idx") - T).scalar()
-    last = idx.where(F.col("idx") > lo).select(ts, (F.col("idx") - lo).alias("j"))
-    # the T timestamps are a bounded side: broadcast
-    h = filled.join(F.broadcast(last), ts)
+    stamps = tail_timestamps(filled, T, ts)
+    # j = 1..T in time order: a literal map over the (at most T) tail timestamps, no join
+    j_of = F.create_map(*[x for j, v in enumerate(stamps, 1) for x in (S.ts_lit(v), F.lit(j))])
+    h = _tail(filled, stamps, ts).withColumn("j", j_of[F.col(ts)] if stamps else F.lit(None).cast("int"))
     feature = S.series_key(indicator, station)
     key = S.forecast_key(feature)
     return h.select(feature.alias("feature"), S.key_pollutant(key).alias("pollutant"),
@@ -148,7 +160,7 @@ def forecast_document(pred_long: DataFrame, hist_long: DataFrame, at) -> DataFra
     One aggregate over the tagged union of both blocks (no join).  The
     document is one logical value, bounded by #series x (n + T) points.
     """
-    at_col = F.lit(at).cast("timestamp_ntz") if not hasattr(at, "_jc") else at
+    at_col = S.ts_lit(at)
     cols = ["pollutant", "station", "hour", "timestamp", "value"]
     u = (pred_long.select(F.lit(True).alias("_p"), *cols)
          .unionByName(hist_long.select(F.lit(False).alias("_p"), *cols)))
