@@ -17,7 +17,7 @@ from aerogrid.plans import registry as R
 from aerogrid.plans.catalog_core import filled
 from aerogrid.plans.lasso import predict
 from aerogrid.plans.samples import build_samples, fit_scaler, scale, scaler_arrays, time_split
-from aerogrid.plans.sqlparts import FILLED_SQL, HIST_SQL, r6, wide_sql
+from aerogrid.plans.sqlparts import FILLED_SQL, GRID_SQL, HIST_SQL, norm_sql, r6, wide_sql
 from aerogrid.session import cut_lineage, scratch_path
 from aerogrid.sources import sinks
 from aerogrid.sources.testbed import testbed_series
@@ -155,7 +155,22 @@ def q_m7(spark, sf_dir):
         "target", "intercept", F.size("coef").alias("n_coef"))
 
 
-def weekly_registry(spark, sf_dir, weeks: int = 3) -> str:
+REGISTRY_WEEKS = 3
+
+# SQL twin of the registry rows ``weekly_registry`` writes: the versions depend
+# only on the grid's last timestamp (week ends counted back from it).
+REGISTRY_SQL = f"""
+WITH e AS (SELECT max(ts) AS end_ts FROM ({GRID_SQL}) g),
+     w AS (SELECT CAST(range AS INTEGER) AS w FROM range({REGISTRY_WEEKS}))
+SELECT '{K.MODEL_NAME}' AS name, CAST({REGISTRY_WEEKS} - w AS INTEGER) AS version,
+       'week-' || lpad(CAST({REGISTRY_WEEKS} - w AS VARCHAR), 3, '0') AS run_id,
+       CASE w WHEN 0 THEN '{K.STAGE_NONE}' WHEN 1 THEN '{K.STAGE_PRODUCTION}' ELSE 'Archived' END AS stage,
+       epoch_ms(end_ts - to_hours(CAST(w * {K.CHUNK_HOURS} AS BIGINT))) AS creation_timestamp
+FROM e, w
+"""
+
+
+def weekly_registry(spark, sf_dir, weeks: int = REGISTRY_WEEKS) -> str:
     """Back-fill the weekly retraining: one run per week-end over the last
     ``weeks`` weeks, each trained on the preceding two weeks.  The newest run
     is registered in stage None (not promoted yet), the one before in
@@ -185,13 +200,17 @@ def weekly_registry(spark, sf_dir, weeks: int = 3) -> str:
     return root
 
 
-@register("m8_resolve_model")
+@register("m8_resolve_model", f"""
+SELECT * FROM ({REGISTRY_SQL}) r
+ORDER BY CASE stage WHEN '{K.STAGE_PRODUCTION}' THEN 0 WHEN '{K.STAGE_NONE}' THEN 1 END, version DESC
+LIMIT 1""")
 def q_m8(spark, sf_dir):
     root = weekly_registry(spark, sf_dir)
     return R.resolve_model(R.read(spark, root, "model_versions"))
 
 
-@register("m9_list_models")
+@register("m9_list_models",
+          f"SELECT version, run_id, stage, creation_timestamp FROM ({REGISTRY_SQL}) r WHERE name = '{K.MODEL_NAME}'")
 def q_m9(spark, sf_dir):
     root = weekly_registry(spark, sf_dir)
     return R.list_models(R.read(spark, root, "model_versions"))
@@ -234,7 +253,14 @@ def q_s15(spark, sf_dir):
     return M.flatten_forecast(sinks.read_forecast(spark, path), "predictions")
 
 
-@register("a7_forecast_overview")
+@register("a7_forecast_overview", f"""
+WITH h AS ({HIST_SQL}),
+     p AS (SELECT fe.station, {norm_sql('fe.indicator')} AS pollutant, s.step
+           FROM ({FEATURES_SQL}) fe CROSS JOIN range({N_STEPS}) AS s(step)
+           WHERE (SELECT count(DISTINCT ts) FROM ({GRID_SQL}) g) >= {T})
+SELECT (SELECT count(*) FROM h) AS historical_points, (SELECT count(*) FROM p) AS predicted_points,
+       (SELECT count(DISTINCT pollutant) FROM p) AS n_pollutants,
+       (SELECT count(DISTINCT station) FROM p) AS n_stations""")
 def q_a7(spark, sf_dir):
     return A.forecast_overview(forecast_of(spark, sf_dir), history_of(spark, sf_dir))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -51,6 +52,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -61,8 +63,13 @@ def ship_package(spark: SparkSession) -> None:
     driver and added with ``addPyFile``, which Spark copies to every node.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
+    with _SHIP_LOCK:   # jobs may be submitted from several driver threads
+        if sc.applicationId not in _SHIPPED:
+            _add_package(sc)
+            _SHIPPED.add(sc.applicationId)
+
+
+def _add_package(sc) -> None:
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="aerogrid-pyfiles-"), "aerogrid.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -72,7 +79,6 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

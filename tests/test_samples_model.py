@@ -115,3 +115,22 @@ def test_fit_lasso_matches_mllib(spark):
                              maxIter=1000).fit(ml)
         assert np.max(np.abs(np.asarray(m.coefficients) - W[t])) < 1e-4
         assert abs(m.intercept - b[t]) < 1e-4
+
+
+def test_coordinate_descent_correlated_wide():
+    """n < d with strongly correlated columns (like lag features): the staged
+    descent with the exact support solve meets the optimality conditions."""
+    rng = np.random.default_rng(3)
+    n, d = 60, 90
+    base = rng.normal(size=(n, 8))
+    X = base @ rng.normal(size=(8, d)) + 0.05 * rng.normal(size=(n, d))
+    y = X[:, 0] - 2 * X[:, 5] + rng.normal(size=n)
+    X = (X - X.mean(0)) / X.std(0)
+    G, c = X.T @ X, X.T @ (y - y.mean())
+    lam = 0.05 * n
+    w = coordinate_descent(G, c, lam)
+    grad = c - G @ w
+    on = w != 0
+    assert on.sum() <= n
+    assert np.allclose(grad[on], lam * np.sign(w[on]), rtol=1e-6, atol=1e-6)
+    assert np.all(np.abs(grad[~on]) <= lam * (1 + 1e-6))
