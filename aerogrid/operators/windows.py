@@ -53,9 +53,12 @@ def fill_gaps(dense: DataFrame, keys: Sequence[str] = ("station", "indicator"),
     if backward:
         out = out.withColumn("_bf", F.first(v, ignorenulls=True).over(wb.rowsBetween(0, UNF)))
 
-    # per-block summary: last and first non-null value (NULL when none)
-    ord_struct = F.struct(*[F.col(c) for c in order_cols])
-    present = F.when(v.isNotNull(), ord_struct)
+    # per-block summary: last and first non-null value (NULL when none).  A
+    # single fixed-width order column keeps max_by/min_by hash-aggregatable
+    # (partial hash aggregate over the grid, no map-side sort); extra
+    # tie-break columns need a struct, which plans as a sort aggregate.
+    ord_key = F.col(ts) if len(order_cols) == 1 else F.struct(*[F.col(c) for c in order_cols])
+    present = F.when(v.isNotNull(), ord_key)
     summary = b.groupBy(*keys, "_blk").agg(F.max_by(v, present).alias("_blast"),
                                            F.min_by(v, present).alias("_bfirst"))
     ws = Window.partitionBy(*_cols(keys)).orderBy("_blk")
