@@ -51,6 +51,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings the engine relies on to a session built
+    elsewhere (UTC session zone, AQE), and make sure a checkpoint folder is
+    known.  Static settings of that session are left as they are."""
+    for k, v in BASE_CONF.items():
+        if k.startswith("spark.sql.") and spark.conf.get(k, None) != v:
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # static conf on a live session
+                pass
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
