@@ -35,8 +35,11 @@ def main() -> None:
     from aerogrid.sources import multipoint as MP
     from aerogrid.sources.testbed import load_obs, testbed_series, testbed_stations
 
+    # driver heap: half the machine's memory, at most 16 GiB (the box may be small)
+    total_gib = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    heap_gib = max(1, min(16, int(total_gib * 0.5)))
     spark = get_session(f"local[{cpus}]", cpus, app_name="aerogrid-bench",
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": f"{heap_gib}g"})
     series = testbed_series()
     keys = ["station", "indicator", "ts"]
 
