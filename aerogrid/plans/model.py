@@ -137,8 +137,9 @@ def history(filled: DataFrame, series: Sequence[tuple[str, str]], T: int = K.TRA
     ``hour_1`` is the oldest of the T rows.
     """
     stamps = tail_timestamps(filled, T, ts)
-    # j = 1..T in time order: a literal map over the (at most T) tail timestamps, no join
-    j_of = F.create_map(*[x for j, v in enumerate(stamps, 1) for x in (S.ts_lit(v), F.lit(j))])
+    # j in time order, newest = T: a literal map over the (at most T) tail timestamps, no join
+    first_j = T - len(stamps) + 1
+    j_of = F.create_map(*[x for j, v in enumerate(stamps, first_j) for x in (S.ts_lit(v), F.lit(j))])
     h = _tail(filled, stamps, ts).withColumn("j", j_of[F.col(ts)] if stamps else F.lit(None).cast("int"))
     feature = S.series_key(indicator, station)
     key = S.forecast_key(feature)

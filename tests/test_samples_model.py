@@ -134,3 +134,11 @@ def test_coordinate_descent_correlated_wide():
     assert on.sum() <= n
     assert np.allclose(grad[on], lam * np.sign(w[on]), rtol=1e-6, atol=1e-6)
     assert np.all(np.abs(grad[~on]) <= lam * (1 + 1e-6))
+
+
+def test_history_short_input_is_right_aligned(spark, pollution_wide):
+    """Fewer than T rows: the newest row is still hour_T (as the SQL twin)."""
+    short = pollution_wide.where("ts < TIMESTAMP '2024-01-01 05:00:00'")
+    h = M.history(short, SERIES3, T=24).collect()
+    hours = sorted({int(r.hour.split("_")[1]) for r in h})
+    assert hours == list(range(20, 25))
