@@ -197,3 +197,17 @@ def test_query_routing(spark):
     bad = spark.createDataFrame([("fmi::forecast::grid",)], "q string")
     with pytest.raises(Exception):
         bad.select(S.require_multipoint("q")).collect()
+
+
+def test_ts_lit_keeps_wall_clock_in_any_zone(spark):
+    """A naive datetime becomes the same timestamp_ntz whatever the session
+    or process zone (``F.lit`` would read it in the process zone)."""
+    from aerogrid.session import configure
+    v = dt.datetime(2024, 3, 31, 3, 30)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = spark.range(1).select(S.ts_lit(v).alias("t"), S.ts_lit("2024-03-31 03:30:00").alias("u")).first()
+        assert got.t == v and got.u == v
+    finally:
+        configure(spark)
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
