@@ -115,7 +115,7 @@ def forecast(spark: SparkSession, filled: DataFrame, model: Model, at=None, ts:
     row = win.agg(F.array_sort(F.collect_list(F.struct(ts, "vec"))).alias("w"),
                   F.max(ts).alias("last_ts"))
     row = row.where(F.size("w") == T)
-    x = F.concat(F.flatten(F.transform("w", lambda s: s["vec"])), F.array(*S.cyclic_time_features("last_ts")))
+    x = F.concat(F.flatten(F.col("w.vec")), F.array(*S.cyclic_time_features("last_ts")))
     inp = row.select(F.lit(0).cast("long").alias("sample_id"), "last_ts", x.alias("x"))
     pred = predict(spark, inp, model.W, model.b, mean=model.mean, std=model.std)
     at_col = F.col("last_ts") if at is None else S.ts_lit(at)

@@ -40,7 +40,7 @@ def wide_rows(filled: DataFrame, series: Sequence[tuple[str, str]], ts: str = "t
     per_ts = filled.select(ts, fi.alias("_fi"), value).where(F.col("_fi").isNotNull()).groupBy(ts).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_fi"), F.col(value)))).alias("_cells"))
     n = len(series)
-    return per_ts.select(ts, F.transform("_cells", lambda c: c[value]).alias("vec")).withColumn(
+    return per_ts.select(ts, F.col("_cells").getField(value).alias("vec")).withColumn(
         "vec", F.when(F.size("vec") == n, F.col("vec")).otherwise(
             F.raise_error(F.concat(F.lit("incomplete row at "), F.col(ts).cast("string")))))
 
@@ -57,8 +57,8 @@ def build_samples(filled: DataFrame, series: Sequence[tuple[str, str]], T: int =
     arr = window_arrays(rows, [], "idx", ["vec"], before=T, after=n, block_rows=block_rows)
     return arr.select(
         (F.col("idx") - T).alias("sample_id"), ts,
-        F.concat(F.flatten(F.transform("lag", lambda s: s["vec"])), F.col("tf")).alias("x"),
-        F.flatten(F.transform("lead", lambda s: s["vec"])).alias("y"))
+        F.concat(F.flatten(F.col("lag.vec")), F.col("tf")).alias("x"),
+        F.flatten(F.col("lead.vec")).alias("y"))
 
 
 def require_samples(samples: DataFrame) -> int:

@@ -106,7 +106,7 @@ def build_member_documents(obs: DataFrame, stations: DataFrame) -> DataFrame:
                .select("day", "station", _member_xml(F.col("rows")).alias("member")))
     docs = members.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("station", "member"))).alias("ms"))
     xml = F.concat(F.lit(f"<wfs:FeatureCollection {NS}>"),
-                   F.array_join(F.transform("ms", lambda m: m["member"]), ""), F.lit("</wfs:FeatureCollection>"))
+                   F.array_join(F.col("ms.member"), ""), F.lit("</wfs:FeatureCollection>"))
     return docs.select((F.unix_seconds(F.col("day").cast("timestamp")) / 86400).cast("bigint").alias("doc_id"),
                        F.lit(0).alias("chunk_no"), xml.alias("xml"))
 
@@ -227,8 +227,8 @@ def collect_series(decoded: DataFrame) -> DataFrame:
     g = decoded.groupBy("doc_id", "station", "indicator", "units").agg(
         F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("pts"))
     return g.select("doc_id", "station", "indicator", "units",
-                    F.transform("pts", lambda p: p["ts"]).alias("times"),
-                    F.transform("pts", lambda p: p["value"]).alias("values"))
+                    F.col("pts.ts").alias("times"),
+                    F.col("pts.value").alias("values"))
 
 
 def route_query(query_id: Column) -> Column:
