@@ -145,10 +145,9 @@ def window_arrays(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[s
     k = F.col(idx)
     blk = F.floor(k / block_rows)
     off = k - blk * block_rows
-    targets = F.filter(F.array(blk,
-                               F.when(off >= block_rows - before, blk + 1),
-                               F.when(off < after - 1, blk - 1)),
-                       lambda x: x.isNotNull())
+    targets = F.array_compact(F.array(blk,
+                                      F.when(off >= block_rows - before, blk + 1),
+                                      F.when(off < after - 1, blk - 1)))
     payload = F.struct(*[F.col(c) for c in cols])
     ex = df.select(*keys, idx, *[c for c in df.columns if c not in keys and c != idx],
                    F.explode(targets).alias("_tblk"), blk.alias("_own"))
