@@ -59,6 +59,12 @@ def cyclic_time_features(ts) -> list[Column]:
     ]
 
 
+def with_time_features(df, ts: str = "ts"):
+    """The feature table (D8): every column of ``df`` plus the four cyclic
+    time features; one output row per input row."""
+    return df.select("*", *cyclic_time_features(ts))
+
+
 # -- F3 / F4 / F5: series keys -------------------------------------------------
 
 def key_pollutant(key) -> Column:

@@ -103,13 +103,16 @@ def latest_rows(filled: DataFrame, series: Sequence[tuple[str, str]], k: int, ts
     return wide_rows(_tail(filled, tail_timestamps(filled, k, ts), ts), series, ts)
 
 
-def forecast(spark: SparkSession, filled: DataFrame, model: Model, at=None, ts: str = "ts") -> DataFrame:
+def forecast(spark: SparkSession, filled: DataFrame, model: Model | None, at=None, ts: str = "ts") -> DataFrame:
     """Next ``n`` hours for every series from the latest ``T`` rows.
 
     Output ``forecast(at, feature, pollutant, station, hour, timestamp, value)``:
     the latest window is one group of T rows (bounded), the scaled input one
     row, and the prediction is exploded to (step, feature) by index math.
+    Fewer than T rows give an empty forecast.
     """
+    if model is None:
+        raise ValueError("Model is not loaded")
     T, n, nf = model.T, model.n, len(model.series)
     win = latest_rows(filled, model.series, T, ts)
     row = win.agg(F.array_sort(F.collect_list(F.struct(ts, "vec"))).alias("w"),

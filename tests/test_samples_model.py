@@ -142,3 +142,30 @@ def test_history_short_input_is_right_aligned(spark, pollution_wide):
     h = M.history(short, SERIES3, T=24).collect()
     hours = sorted({int(r.hour.split("_")[1]) for r in h})
     assert hours == list(range(20, 25))
+
+
+def test_forecast_without_model_raises(spark, pollution_wide):
+    with pytest.raises(ValueError, match="Model is not loaded"):
+        M.forecast(spark, pollution_wide, None)
+
+
+def test_forecast_short_input_is_empty(spark, pollution_wide):
+    """Train on an integer ramp, forecast from 3 rows: no full window, so no
+    forecast rows (the original tolerates this case or raises)."""
+    ramp = pollution_wide.selectExpr(
+        "station", "indicator", "ts",
+        "CAST((unix_seconds(CAST(ts AS TIMESTAMP)) - unix_seconds(TIMESTAMP '2024-01-01 00:00:00')) / 3600 AS DOUBLE)"
+        " AS value")
+    m = M.train(spark, ramp, SERIES3)
+    short = ramp.where("ts < TIMESTAMP '2024-01-01 03:00:00'")
+    assert M.forecast(spark, short, m).count() == 0
+
+
+def test_feature_table_adds_four_time_columns(spark, pollution_wide):
+    from aerogrid.functions.scalars import with_time_features
+    from aerogrid.operators.aggregates import to_wide
+    wide = to_wide(pollution_wide, SERIES3)
+    out = with_time_features(wide)
+    assert {"hour_sin", "hour_cos", "day_sin", "day_cos"} <= set(out.columns)
+    assert len(out.columns) == len(wide.columns) + 4
+    assert out.count() == wide.count() == 100
