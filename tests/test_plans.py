@@ -83,10 +83,17 @@ def test_lag_windows_partition_by_block(spark, pollution_wide):
     assert any("_tblk" in ln for ln, _ in exchanges(text))
 
 
-def test_no_query_plans_a_cross_product(spark):
+def test_no_query_plans_a_cross_product_or_an_unbounded_single_partition(spark):
+    """No registered query plans a Cartesian product or nested-loop join, and
+    every single-partition exchange sits on an aggregate (a global partial
+    aggregate, or one row per day / hour block), never on raw rows."""
     import __spark_entry__ as E
     bad = []
     for name, fn in E.queries().items():
         text = plan(fn(spark, SF_SMALL))
         bad += [(name, p) for p in ("CartesianProduct", "BroadcastNestedLoopJoin") if p in text]
+        lines = text.splitlines()
+        for i, ln in enumerate(lines):
+            if "Exchange SinglePartition" in ln and "Aggregate" not in (lines[i + 1] if i + 1 < len(lines) else ""):
+                bad.append((name, ln.strip()[:120]))
     assert not bad
