@@ -103,13 +103,19 @@ def latest_rows(filled: DataFrame, series: Sequence[tuple[str, str]], k: int, ts
     return wide_rows(_tail(filled, tail_timestamps(filled, k, ts), ts), series, ts)
 
 
-def forecast(spark: SparkSession, filled: DataFrame, model: Model | None, at=None, ts: str = "ts") -> DataFrame:
+def forecast(spark: SparkSession, filled: DataFrame, model: Model | None, at=None, ts: str = "ts",
+             align_time_features: bool = False, clip_at_zero: bool = False) -> DataFrame:
     """Next ``n`` hours for every series from the latest ``T`` rows.
 
     Output ``forecast(at, feature, pollutant, station, hour, timestamp, value)``:
     the latest window is one group of T rows (bounded), the scaled input one
     row, and the prediction is exploded to (step, feature) by index math.
     Fewer than T rows give an empty forecast.
+
+    Quirk switches (defaults keep the original): ``align_time_features``
+    takes the time features of the first forecast hour, as training pairs a
+    sample with its first target row (Q3), instead of the last history row;
+    ``clip_at_zero`` floors predictions at 0 (Q21).
     """
     if model is None:
         raise ValueError("Model is not loaded")
@@ -118,12 +124,15 @@ def forecast(spark: SparkSession, filled: DataFrame, model: Model | None, at=Non
     row = win.agg(F.array_sort(F.collect_list(F.struct(ts, "vec"))).alias("w"),
                   F.max(ts).alias("last_ts"))
     row = row.where(F.size("w") == T)
-    x = F.concat(F.flatten(F.col("w.vec")), F.array(*S.cyclic_time_features("last_ts")))
+    tf_ts = S.add_hours(F.col("last_ts"), F.lit(1)) if align_time_features else F.col("last_ts")
+    x = F.concat(F.flatten(F.col("w.vec")), F.array(*S.cyclic_time_features(tf_ts)))
     inp = row.select(F.lit(0).cast("long").alias("sample_id"), "last_ts", x.alias("x"))
     pred = predict(spark, inp, model.W, model.b, mean=model.mean, std=model.std)
     at_col = F.col("last_ts") if at is None else S.ts_lit(at)
     feats = F.array(*[F.lit(f) for f in model.features])
     ex = pred.select(at_col.alias("at"), F.posexplode("yhat").alias("t", "value"))
+    if clip_at_zero:
+        ex = ex.withColumn("value", F.greatest(F.col("value"), F.lit(0.0)))
     step = S.target_step(F.col("t"), F.lit(nf))
     feature = F.get(feats, S.target_feature(F.col("t"), F.lit(nf)))
     key = S.forecast_key(feature)

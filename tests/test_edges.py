@@ -211,3 +211,22 @@ def test_ts_lit_keeps_wall_clock_in_any_zone(spark):
     finally:
         configure(spark)
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_densify_complete_axis(spark):
+    """Q2 switch: a time step missing from every series becomes a NULL row,
+    then filled; the default grid keeps only timestamps some series has."""
+    rows = [("A", "x", T0, 1.0), ("B", "x", T0 + 3 * H, 4.0)]
+    obs = spark.createDataFrame(rows, "station string, indicator string, ts timestamp_ntz, value double")
+    series = [("A", "x"), ("B", "x")]
+    assert densify(obs, series).count() == 4
+    g = densify(obs, series, step_hours=1)
+    assert g.count() == 8
+    a = [r.value for r in fill_gaps(g).where("station = 'A'").orderBy("ts").collect()]
+    assert a == [1.0, 1.0, 1.0, 1.0]
+    # a long span: the axis is expanded in chunks over many rows
+    far = spark.createDataFrame([("A", "x", T0, 1.0), ("A", "x", T0 + 5000 * H, 2.0)],
+                                "station string, indicator string, ts timestamp_ntz, value double")
+    d = densify(far, [("A", "x")], step_hours=1)
+    assert d.count() == 5001 and d.select("ts").distinct().count() == 5001
+    assert d.where("value IS NOT NULL").count() == 2

@@ -169,3 +169,16 @@ def test_feature_table_adds_four_time_columns(spark, pollution_wide):
     assert {"hour_sin", "hour_cos", "day_sin", "day_cos"} <= set(out.columns)
     assert len(out.columns) == len(wide.columns) + 4
     assert out.count() == wide.count() == 100
+
+
+def test_forecast_quirk_switches(spark, pollution_wide):
+    """Q21 clip_at_zero floors predictions at 0; Q3 align_time_features runs
+    the same window with the first forecast hour's time features."""
+    from pyspark.sql import functions as F
+    neg = pollution_wide.withColumn("value", -F.col("value"))
+    m = M.train(spark, neg, SERIES3)
+    raw = M.forecast(spark, neg, m).collect()
+    assert min(r.value for r in raw) < 0
+    clipped = M.forecast(spark, neg, m, clip_at_zero=True).collect()
+    assert len(clipped) == 18 and min(r.value for r in clipped) == 0.0
+    assert len(M.forecast(spark, neg, m, align_time_features=True).collect()) == 18
