@@ -81,9 +81,9 @@ def freshness(spark: SparkSession, path: str, as_of) -> DataFrame:
     Uses the hidden ``_metadata`` column of the file source; one aggregate row.
     A path that does not exist yields ``exists = false`` and NULLs.
     """
-    from aerogrid.functions.scalars import age_hours
+    from aerogrid.functions.scalars import age_hours, ts_lit
 
-    as_of_col = F.lit(as_of).cast("timestamp_ntz") if not hasattr(as_of, "_jc") else as_of
+    as_of_col = ts_lit(as_of)
     try:
         df = spark.read.parquet(path)
     except Exception:  # AnalysisException: path does not exist
