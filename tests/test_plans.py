@@ -10,7 +10,7 @@ import re
 from aerogrid.operators import project as P
 from aerogrid.operators.aggregates import dedup_first
 from aerogrid.operators.joins import densify
-from aerogrid.operators.windows import fill_gaps, window_arrays
+from aerogrid.operators.windows import fill_gaps, tail_per_key, window_arrays
 from aerogrid.plans.model import latest_rows
 from aerogrid.session import cut_lineage
 from aerogrid.sources import testbed as TB
@@ -76,6 +76,12 @@ def test_forecast_reads_only_the_tail(spark, pollution_wide):
     assert "GreaterThanOrEqual(ts" in pushed
 
 
+def test_tail_per_key_limits_before_the_shuffle(spark):
+    text = plan(tail_per_key(TB.load_obs(spark, SF_SMALL), ["station", "indicator"], "ts", 24))
+    ex = text.index("Exchange hashpartitioning(station")
+    assert "WindowGroupLimit" in text[ex:] and "Partial" in text[ex:], "no map-side group limit"
+
+
 def test_lag_windows_partition_by_block(spark, pollution_wide):
     rows = pollution_wide.selectExpr("station", "indicator", "ts", "value",
                                      "CAST(unix_seconds(CAST(ts AS TIMESTAMP)) / 3600 AS BIGINT) AS idx")
