@@ -9,8 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, MapType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from aerogrid import constants as K
 from aerogrid.functions import scalars as S
