@@ -18,17 +18,25 @@ from aerogrid import constants as K
 from aerogrid.functions.scalars import ts_lit
 
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 MAX_SERIES = 20_000
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side; otherwise the plain frame.
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after measuring the side; otherwise the plain frame.
 
-    The count is capped (``limit(max_rows + 1)``) so checking a big side costs
-    at most ``max_rows + 1`` rows of work.
+    One capped pass (``limit(max_rows + 1)``) counts the rows and sums their
+    serialised size (JSON text length, at least the binary size of
+    numbers and strings), so checking a big side costs at most
+    ``max_rows + 1`` rows of work and the broadcast has a proven bound.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    probe = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))),
+                   F.lit(0)).alias("bytes")).first()
+    ok = probe["n"] <= max_rows and probe["bytes"] <= max_bytes
+    return F.broadcast(df) if ok else df
 
 
 def merge_on(left: DataFrame, right: DataFrame, on: Sequence[str] | str = "ts",

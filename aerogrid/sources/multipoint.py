@@ -152,8 +152,9 @@ def decode_fields(raw_docs: DataFrame, params: DataFrame | None = None) -> DataF
                           F.col("uom").alias("units"))
     # hrefs only exist on linked fields; positions of linked fields are
     # matched by order, which holds when either all or no fields link.
+    from aerogrid.operators.joins import broadcast_checked
     linked = out.join(hrefs, ["doc_id", "field_no"], "left").join(
-        F.broadcast(params.select("href", F.col("name").alias("p_name"), F.col("units").alias("p_units"))),
+        broadcast_checked(params.select("href", F.col("name").alias("p_name"), F.col("units").alias("p_units"))),
         "href", "left")
     return linked.select("doc_id", "field_no", "code",
                          F.coalesce("p_name", "label").alias("indicator"),

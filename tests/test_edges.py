@@ -230,3 +230,12 @@ def test_densify_complete_axis(spark):
     d = densify(far, [("A", "x")], step_hours=1)
     assert d.count() == 5001 and d.select("ts").distinct().count() == 5001
     assert d.where("value IS NOT NULL").count() == 2
+
+
+def test_broadcast_checked_bounds_rows_and_bytes(spark):
+    from aerogrid.operators.joins import broadcast_checked
+    small = spark.range(10).selectExpr("id", "repeat('x', 10) AS s")
+    assert "broadcast" in small.join(broadcast_checked(small), "id")._jdf.queryExecution().analyzed().toString().lower()
+    # too many rows, then too many bytes: no hint
+    assert broadcast_checked(small, max_rows=5) is small
+    assert broadcast_checked(small, max_bytes=50) is small
