@@ -40,9 +40,15 @@ def wide_rows(filled: DataFrame, series: Sequence[tuple[str, str]], ts: str = "t
     per_ts = filled.select(ts, fi.alias("_fi"), value).where(F.col("_fi").isNotNull()).groupBy(ts).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_fi"), F.col(value)))).alias("_cells"))
     n = len(series)
+    names = F.array(*[F.lit(f"{ind}_{s}") for s, ind in series])
+    # after the fills a NULL is left only in a series with no value at all (Q6)
+    first_null = F.array_position(F.transform("vec", lambda v: v.isNull()), True).cast("int")
     return per_ts.select(ts, F.col("_cells").getField(value).alias("vec")).withColumn(
-        "vec", F.when(F.size("vec") == n, F.col("vec")).otherwise(
-            F.raise_error(F.concat(F.lit("incomplete row at "), F.col(ts).cast("string")))))
+        "vec", F.when(F.size("vec") != n, F.raise_error(
+            F.concat(F.lit("incomplete row at "), F.col(ts).cast("string"))))
+        .when(first_null > 0, F.raise_error(
+            F.concat(F.lit("series with no observed value: "), F.element_at(names, first_null))))
+        .otherwise(F.col("vec")))
 
 
 def build_samples(filled: DataFrame, series: Sequence[tuple[str, str]], T: int = K.TRAINING_HOURS,

@@ -182,3 +182,14 @@ def test_forecast_quirk_switches(spark, pollution_wide):
     clipped = M.forecast(spark, neg, m, clip_at_zero=True).collect()
     assert len(clipped) == 18 and min(r.value for r in clipped) == 0.0
     assert len(M.forecast(spark, neg, m, align_time_features=True).collect()) == 18
+
+
+def test_train_names_a_series_without_values(spark, pollution_wide):
+    """Q6: a series with no observed value cannot be filled; training raises
+    naming it instead of failing inside the fit."""
+    from pyspark.sql import functions as F
+    gap = pollution_wide.withColumn(
+        "value", F.when(F.col("indicator") == "Particulate matter < 10 µm", F.lit(None).cast("double"))
+        .otherwise(F.col("value")))
+    with pytest.raises(Exception, match="series with no observed value: Particulate matter < 10 µm_Helsinki"):
+        M.train(spark, gap, SERIES3)
