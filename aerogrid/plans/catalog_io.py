@@ -86,7 +86,7 @@ def q_t2(spark, sf_dir):
 
 @register("t3_hourly_means", f"""
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, station, indicator,
-       {r6('avg(value)')} AS mean_value, count(*) AS n
+       {r6('avg(CASE WHEN isnan(value) THEN NULL ELSE value END)')} AS mean_value, count(*) AS n
 FROM (SELECT ts, event_type AS station, value,
              CASE user_id % 3 WHEN 0 THEN '{K.INDICATORS[0]}' WHEN 1 THEN '{K.INDICATORS[1]}'
                               ELSE '{K.INDICATORS[2]}' END AS indicator FROM events) e

@@ -76,7 +76,9 @@ def hourly_means_stream(spark: SparkSession, folder: str, schema: StructType, ou
     agg = (ev.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", WATERMARK)
            .groupBy(F.window("event_time", "1 hour").alias("w"), F.col("event_type").alias("station"),
                     indicator_of("user_id").alias("indicator"))
-           .agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n")))
+           # NaN is "missing" here too (Q1): it leaves the mean, not the row count
+           .agg(F.avg(F.nanvl(F.col("value"), F.lit(None).cast("double"))).alias("mean_value"),
+                F.count(F.lit(1)).alias("n")))
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
         (df.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "station", "indicator",
