@@ -9,6 +9,8 @@ suits a scheduled job; a continuous deployment swaps in ``processingTime``.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,8 +30,30 @@ def landed_events(spark: SparkSession, folder: str, schema: StructType, name: st
     return r.parquet(folder)
 
 
-def _run(query_builder, out: str, ckpt: str) -> None:
-    q = query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True).start(out)
+@contextlib.contextmanager
+def _no_idle_batches(spark: SparkSession):
+    """Start a query without the trailing no-data micro-batch.
+
+    These jobs emit rows on arrival (append, or update for the windowed
+    means); the idle batch would only evict expired state, which the next
+    scheduled run does in its first batch.  A query keeps the settings it
+    was started with, so the session's own value is restored at once.
+    """
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _run(query_builder, out: str, ckpt: str, spark: SparkSession) -> None:
+    with _no_idle_batches(spark):
+        q = query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True).start(out)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -41,7 +65,7 @@ def ingest_observations(spark: SparkSession, folder: str, schema: StructType, ou
     out = out or scratch_path(spark, "stream-obs")
     ckpt = ckpt or out + "-ckpt"
     obs = obs_from_events(landed_events(spark, folder, schema), grain_seconds)
-    _run(obs.writeStream.format("parquet").outputMode("append"), out, ckpt)
+    _run(obs.writeStream.format("parquet").outputMode("append"), out, ckpt, spark)
     return out
 
 
@@ -58,7 +82,7 @@ def dedup_stream(spark: SparkSession, folder: str, schema: StructType, out: str
     # watermarks need TIMESTAMP; the UTC session makes the cast the same instant
     obs = obs.withColumn("event_time", F.col("ts").cast("timestamp"))
     d = obs.withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["station", "indicator", "ts"])
-    _run(d.drop("event_time").writeStream.format("parquet").outputMode("append"), out, ckpt)
+    _run(d.drop("event_time").writeStream.format("parquet").outputMode("append"), out, ckpt, spark)
     return out
 
 
@@ -85,8 +109,9 @@ def hourly_means_stream(spark: SparkSession, folder: str, schema: StructType, ou
                    "mean_value", "n", F.lit(batch_id).cast("long").alias("batch_id"))
          .write.mode("append").parquet(out))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    with _no_idle_batches(spark):
+        q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

@@ -239,3 +239,11 @@ def test_broadcast_checked_bounds_rows_and_bytes(spark):
     # too many rows, then too many bytes: no hint
     assert broadcast_checked(small, max_rows=5) is small
     assert broadcast_checked(small, max_bytes=50) is small
+
+
+def test_stream_leaves_session_settings_alone(spark):
+    from aerogrid.plans.catalog_io import q_t3
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, None)
+    assert q_t3(spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.conf.get(key, None) == before
