@@ -16,6 +16,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
@@ -25,6 +26,8 @@ from aerogrid.llm.common import append_computed
 NO_RANK = 1 << 60
 SCAN_PARTS = 128         # longer words take the heap: the same merges in n log n
 CACHE_WORDS = 200_000
+#: Up to here all Unicode versions agree on letters, digits and case.
+BEYOND_STABLE = regex.compile(r"[^\x00-\u052F]")
 
 
 def byte_symbols() -> list[str]:
@@ -53,6 +56,8 @@ class WordBpe:
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.split = regex.compile(splits[0])
+        self.file_normalizer = tokenizers.Tokenizer.from_file(path).normalizer
+        self.file_split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(splits[0]), "removed", invert=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
                                            + ")") if self.special else None
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
@@ -87,8 +92,7 @@ class WordBpe:
     def _merge_long(self, parts: list[int]) -> list[int]:
         n = len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(*self.ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.ranks]
-        heap = [(rank, i, new, p) for rank, new, i, p in heap]
+        heap = [(self.ranks[p][0], i, self.ranks[p][1], p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.ranks]
         heapq.heapify(heap)
         alive: list[int | None] = list(parts)
 
@@ -126,13 +130,22 @@ class WordBpe:
         return b"".join(int(self.special[piece]).to_bytes(4, "little") if piece in self.special else self._encode_plain(piece)
                         for piece in self.special_split.split(text) if piece)
 
-    def _encode_plain(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens of the normalised text.  Texts with characters on whose
+        class Unicode versions differ are normalised and split by the library,
+        so that its version decides."""
+        if BEYOND_STABLE.search(text):
+            return [w for w, _ in self.file_split.pre_tokenize_str(self.file_normalizer.normalize_str(text))]
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
+            if BEYOND_STABLE.search(text):
+                return self.words(text)
         # character by character, so a final capital sigma is an ordinary one
-        words = self.split.findall(text.replace("Σ", "σ").lower())
+        return self.split.findall(text.replace("Σ", "σ").lower())
+
+    def _encode_plain(self, text: str) -> bytes:
         cache, out = self.cache, []
-        for w in words:
+        for w in self.words(text):
             got = cache.get(w)
             if got is None:
                 got = self.word_ids(w)

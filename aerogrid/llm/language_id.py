@@ -164,7 +164,8 @@ class Labeller:
                 block.append(at)
                 n += len(found)
                 at += 1
-            emit, sizes = np.array(self.scores, np.float32).reshape(len(self.scores), -1), np.array(self.sizes, np.int64)
+            emit = np.array(self.scores, np.float32).reshape(len(self.scores), len(self.model.langs))
+            sizes = np.array(self.sizes, np.int64)
             for i, path, own in zip(block, self.viterbi(ids, emit), ids, strict=True):
                 out[i] = path, sizes[own]
         return out
@@ -221,8 +222,10 @@ class _Predict:
 
     def summary(self, texts: pa.Array) -> list[tuple[str, float, list[dict]]]:
         langs, out = self.labeller.model.langs, []
+        if not langs:
+            return [("und", 0.0, [])] * len(texts)
         for path, sizes in self.labeller.labels(texts.to_pylist()):
-            if not len(path) or not langs:
+            if not len(path):
                 out.append(("und", 0.0, []))
                 continue
             letters = np.bincount(path, weights=sizes, minlength=len(langs))
