@@ -10,8 +10,9 @@ text's language.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ SCRIPT_STARTS = [0x41, 0x2C0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0
 SCRIPTS = ["latin", "other", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "devanagari", "bengali",
            "gurmukhi", "other", "tamil", "telugu", "thai", "lao", "georgian", "hangul", "ethiopic", "latin", "greek",
            "other", "hiragana", "katakana", "other", "han", "other", "hangul", "other", "han", "other", "han", "other"]
-BUCKETS = 1 << 17        # hashed n-grams per language
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS   # hashed n-grams per language
+GRAM_MIX = np.uint64(0x9E3779B97F4A7C15)   # an odd multiplier, 2**64 over the golden ratio
 LONGEST = 3              # characters in an n-gram
 SWITCH = 8.0             # nats for changing the language between two words
 CACHE_WORDS = 200_000
@@ -53,41 +56,57 @@ def script_of(word: str) -> str:
     return SCRIPTS[at - 1] if at else "other"
 
 
-def gram_buckets(word: str) -> list[int]:
-    """Hash buckets of all character n-grams of the word between its bounds."""
-    w = "^" + word + "$"
-    return [crc32(w[i:i + n].encode()) % BUCKETS for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)]
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of all character n-grams of each word between its bounds,
+    and for every bucket the number of its word, in order."""
+    text = "".join(["^" + w + "$" for w in words])
+    chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))     # characters to the word's end
+    found, owner, h = [], [], np.zeros(len(chars), np.uint64)
+    for n in range(1, LONGEST + 1):
+        h = h[:len(chars) - n + 1] * GRAM_MIX + chars[n - 1:]
+        whole = left[:len(h)] >= n
+        found.append(((h[whole] * GRAM_MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        owner.append(word[:len(h)][whole])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order], owner[order]
+
+
+class _Ids(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = got = len(self)
+        return got
 
 
 class _Count:
     """mapInArrow body of training: ``(lang, kind, key, n)`` sums of one task."""
 
     def __call__(self, batches):
-        words: dict[str, dict[str, int]] = {}
-        held = 0
+        words: dict[str, Counter] = {}
         for batch in batches:
             for part in bounded_slices(batch, 0):
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = words.setdefault(lang, {})
-                    before = len(own)
-                    for w in WORD.findall((text or "").lower()):
-                        own[w] = own.get(w, 0) + 1
-                    held += len(own) - before
-                if held > CACHE_WORDS:
+                    words.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+                if sum(map(len, words.values())) > CACHE_WORDS:
                     yield self.sums(words)
-                    words, held = {}, 0
+                    words = {}
         yield self.sums(words)
 
     @staticmethod
-    def sums(words: dict[str, dict[str, int]]) -> pa.RecordBatch:
+    def sums(words: dict[str, Counter]) -> pa.RecordBatch:
         langs, kinds, keys, counts = [], [], [], []
         for lang, own in words.items():
-            total, scripts = np.zeros(BUCKETS, np.int64), {}
-            for w, n in own.items():
-                for b in gram_buckets(w):
-                    total[b] += n
-                s = script_of(w)
-                scripts[s] = scripts.get(s, 0) + n
+            known, n = list(own), np.fromiter(own.values(), np.float64, len(own))
+            buckets, owner = gram_buckets(known)
+            total = np.bincount(buckets, weights=n[owner], minlength=BUCKETS).astype(np.int64)
+            scripts = Counter()
+            for w, k in own.items():
+                scripts[script_of(w)] += k
             used = np.flatnonzero(total)
             langs += [lang] * (len(used) + len(scripts))
             kinds += ["gram"] * len(used) + ["script"] * len(scripts)
@@ -136,36 +155,41 @@ class Labeller:
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
-        self.sizes: list[int] = []
-
-    def word_id(self, word: str) -> int:
-        got = self.ids.get(word)
-        if got is None:
-            got = self.ids[word] = len(self.scores)
-            score = self.model.logp[gram_buckets(word)].sum(axis=0)
-            allowed = self.model.scripts.get(script_of(word))
-            self.scores.append(score if allowed is None else np.where(allowed, score, np.float32(-1e6)))
-            self.sizes.append(len(word))
-        return got
+        self.ids = _Ids()
+        self.scores = np.zeros((0, len(self.model.langs)), np.float32)
+        self.sizes = np.zeros(0, np.int64)
+
+    def learn(self) -> None:
+        """Score the words that got a number since the last call: the sum of
+        their n-grams' log-probabilities, out of reach in a language that does
+        not use the word's script while another one does."""
+        new = list(islice(self.ids, len(self.scores), None))
+        if not new:
+            return
+        buckets, owner = gram_buckets(new)
+        starts = np.searchsorted(owner, np.arange(len(new)))
+        score = np.add.reduceat(self.model.logp[buckets], starts, axis=0)
+        anywhere = np.ones(len(self.model.langs), bool)
+        allowed = np.array([self.model.scripts.get(script_of(w), anywhere) for w in new])
+        self.scores = np.concatenate([self.scores, np.where(allowed, score, np.float32(-1e6))])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
 
     def labels(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the language index and the letters of each word."""
         out: list = [None] * len(texts)
         at = 0
         while at < len(texts):
-            if len(self.scores) > CACHE_WORDS:
+            if len(self.ids) > CACHE_WORDS:
                 self.forget()
             ids, block, n = [], [], 0
-            while at < len(texts) and (n < BLOCK_WORDS or not block) and len(self.scores) <= 2 * CACHE_WORDS:
+            while at < len(texts) and (n < BLOCK_WORDS or not block):
                 found = WORD.findall((texts[at] or "").lower())
-                ids.append(np.fromiter(map(self.word_id, found), np.int64, len(found)))
+                ids.append(np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found)))
                 block.append(at)
                 n += len(found)
                 at += 1
-            emit = np.array(self.scores, np.float32).reshape(len(self.scores), len(self.model.langs))
-            sizes = np.array(self.sizes, np.int64)
+            self.learn()
+            emit, sizes = self.scores, self.sizes
             for i, path, own in zip(block, self.viterbi(ids, emit), ids, strict=True):
                 out[i] = path, sizes[own]
         return out

@@ -378,7 +378,7 @@ def test_viterbi_matches_brute_force(language_model):
     texts = [" ".join(sentence(rng, rng.choice(list(LANGS)), 1) for _ in range(n)) for n in (1, 5, 5, 6, 2, 0)]
     for text, (path, sizes) in zip(texts, labeller.labels(texts), strict=True):
         words = language_id.WORD.findall(text.lower())
-        emit = [labeller.scores[labeller.word_id(w)] for w in words]
+        emit = [labeller.scores[labeller.ids[w]] for w in words]
 
         def value(p, emit=emit):
             return sum(float(e[x]) for e, x in zip(emit, p, strict=True)) - 3.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
