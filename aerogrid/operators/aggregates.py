@@ -69,9 +69,6 @@ def to_wide(long: DataFrame, series: Sequence[tuple[str, str]], ts: str = "ts",
     Pivot values are explicit (no extra job to discover them); the n-way
     outer merge of station tables becomes this single grouped pivot.
     """
-    from aerogrid.operators.joins import MAX_SERIES
-    if len(series) > MAX_SERIES:
-        raise ValueError(f"more than {MAX_SERIES} series")
     names = [f"{ind}_{st}" for st, ind in series]
     keyed = long.select(ts, series_key(indicator, station).alias("_series"), value)
     return keyed.groupBy(ts).pivot("_series", names).agg(F.first(value, ignorenulls=True))

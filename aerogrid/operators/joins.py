@@ -19,7 +19,6 @@ from aerogrid.functions.scalars import ts_lit
 
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 << 20
-MAX_SERIES = 20_000
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
@@ -51,17 +50,12 @@ def merge_all(dfs: Sequence[DataFrame], on: str = "ts") -> DataFrame:
     return reduce(lambda a, b: merge_on(a, b, on), dfs)
 
 
-def series_list(obs: DataFrame, station: str = "station", indicator: str = "indicator",
-                max_series: int = MAX_SERIES) -> list[tuple[str, str]]:
-    """Distinct (station, indicator) pairs, size-checked (like pivot-value discovery)."""
-    rows = (obs.select(station, indicator).distinct().orderBy(station, indicator)
-            .limit(max_series + 1).collect())
-    if len(rows) > max_series:
-        raise ValueError(f"more than {max_series} series; pass the series list explicitly")
-    return [(r[0], r[1]) for r in rows]
+def series_table(obs: DataFrame, station: str = "station", indicator: str = "indicator") -> DataFrame:
+    """Distinct (station, indicator) pairs of the observations, as a table."""
+    return obs.select(station, indicator).distinct()
 
 
-def densify(obs: DataFrame, series: Sequence[tuple[str, str]], ts: str = "ts",
+def densify(obs: DataFrame, series: DataFrame | Sequence[tuple[str, str]], ts: str = "ts",
             station: str = "station", indicator: str = "indicator", value: str = "value",
             step_hours: int | None = None) -> DataFrame:
     """Dense grid: every timestamp present x every series, NULL where missing.
@@ -69,8 +63,9 @@ def densify(obs: DataFrame, series: Sequence[tuple[str, str]], ts: str = "ts",
     ``obs`` must be unique per (station, indicator, ts) (run ``dedup_first``).
     One shuffle by ``ts`` builds a per-timestamp map series -> value (its size
     is bounded by the number of series); the grid rows come from exploding the
-    explicit series list against it, so no join and no cross product of
-    tables.
+    series against it.  ``series`` is a table with the station and indicator
+    columns (see ``series_table``) or a list of pairs; either way it reaches the plan as
+    one array from a scalar subquery, not as an expression per series.
 
     ``step_hours`` (quirk Q2 switch): the time axis is every ``step_hours``
     from the first to the last timestamp, so a time step missing from all
@@ -78,8 +73,8 @@ def densify(obs: DataFrame, series: Sequence[tuple[str, str]], ts: str = "ts",
     the original: only timestamps some series has).  The axis is generated
     from the two bounds, spread over tasks, and outer-joined by ``ts``.
     """
-    if len(series) > MAX_SERIES:
-        raise ValueError(f"more than {MAX_SERIES} series")
+    if not isinstance(series, DataFrame):
+        series = obs.sparkSession.createDataFrame([tuple(x) for x in series], f"`{station}` string, `{indicator}` string")
     sep = "\u0001"
     entry = F.struct(F.concat_ws(sep, F.col(station), F.col(indicator)).alias("k"), F.col(value).alias("v"))
     per_ts = obs.groupBy(ts).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
@@ -99,7 +94,7 @@ def densify(obs: DataFrame, series: Sequence[tuple[str, str]], ts: str = "ts",
                             .cast("timestamp_ntz").alias(ts))
         # steps with no observation get a NULL map: every series reads NULL there
         per_ts = axis.join(per_ts, ts, "full_outer")
-    grid = F.array(*[F.struct(F.lit(s).alias(station), F.lit(i).alias(indicator)) for s, i in series])
+    grid = series.agg(F.collect_list(F.struct(station, indicator))).scalar()
     ex = per_ts.select(ts, "_m", F.explode(grid).alias("_s"))
     return ex.select(F.col(f"_s.{station}").alias(station), F.col(f"_s.{indicator}").alias(indicator), ts,
                      F.col("_m")[F.concat_ws(sep, F.col(f"_s.{station}"), F.col(f"_s.{indicator}"))]
@@ -211,8 +206,3 @@ def chunk_windows(spark, end, hours: int, n: int) -> DataFrame:
     return r.select("chunk_no",
                     (end_col - F.make_dt_interval(F.lit(0), (F.col("chunk_no") + 1) * hours)).alias("start"),
                     (end_col - F.make_dt_interval(F.lit(0), F.col("chunk_no") * hours)).alias("end"))
-
-
-def station_snapshot(stations: DataFrame, latest_wide: DataFrame, station: str = "station") -> DataFrame:
-    """Station dimension first, latest values attached; missing -> NULL."""
-    return stations.join(latest_wide, station, "left")

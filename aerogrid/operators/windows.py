@@ -19,7 +19,7 @@ UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
 
 DEFAULT_BLOCK = "week"      # time block for fills (date_trunc unit)
-DEFAULT_BLOCK_ROWS = 256    # rows per block for lag / lead arrays (>= T and n)
+DEFAULT_BLOCK_ROWS = 256    # rows per block for lag / lead arrays, or the window if that is longer
 
 
 def _cols(keys: Sequence[str]) -> list[Column]:
@@ -84,11 +84,12 @@ def fill_gaps(dense: DataFrame, keys: Sequence[str] = ("station", "indicator"),
 def require_no_empty_series(filled: DataFrame, keys: Sequence[str] = ("station", "indicator"),
                             value: str = "value") -> None:
     """A series with no value at all cannot be filled: raise naming it (Q6)."""
-    bad = (filled.groupBy(*keys).agg(F.count(value).alias("n")).where("n = 0")
-           .select(*keys).limit(5).collect())
-    if bad:
-        names = ["_".join(str(x) for x in r) for r in bad]
-        raise ValueError(f"series with no observed value: {names}")
+    empty = filled.groupBy(*keys).agg(F.count(value).alias("n")).where("n = 0").select(
+        F.concat_ws("_", *_cols(keys)).alias("name"))
+    bad = empty.agg(F.count("*").alias("n"), F.min("name").alias("first")).first()
+    if bad["n"]:
+        more = f" and {bad['n'] - 1} more" if bad["n"] > 1 else ""
+        raise ValueError(f"series with no observed value: {bad['first']}{more}")
 
 
 def ffill_table(df: DataFrame, cols: Sequence[str], ts: str = "ts", tiebreak: Sequence[str] = (),
@@ -139,8 +140,7 @@ def window_arrays(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[s
     is independent and a long series spreads over many tasks.  With
     ``complete`` only rows with full lag and lead arrays are kept.
     """
-    if before > block_rows or after > block_rows:
-        raise ValueError("block_rows must be >= before and after")
+    block_rows = max(block_rows, before, after)   # a halo reaches one block far
     keys = list(keys)
     k = F.col(idx)
     blk = F.floor(k / block_rows)

@@ -4,6 +4,7 @@ predict, metrics, registry, forecast and the forecast document."""
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def trained(spark, sf_dir) -> M.Model:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         _MODELS[key] = M.train(spark, filled(spark, sf_dir), testbed_series(), T, N_STEPS,
-                               K.LASSO_ALPHA, run_id=f"run-{abs(hash(sf_dir)) % 10**8:08d}")
+                               K.LASSO_ALPHA, run_id=f"run-{zlib.crc32(sf_dir.encode()):08x}")
     return _MODELS[key]
 
 

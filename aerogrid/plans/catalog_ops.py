@@ -236,7 +236,14 @@ def q_j8(spark, sf_dir):
     return J.series_grid(hist(spark, sf_dir))
 
 
-CHUNK_N = 5
+#: As many chunks as reach back to the first observation.
+N_CHUNKS_SQL = f"""(SELECT CAST(floor(epoch(max(ts) - min(ts)) / {K.CHUNK_HOURS * 3600}) AS BIGINT) + 1 FROM
+   (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts FROM events) h)"""
+
+
+def n_chunks(obs) -> int:
+    first, last = obs.agg(F.min("ts"), F.max("ts")).first()
+    return int((last - first).total_seconds() // (K.CHUNK_HOURS * 3600)) + 1 if last else 0
 
 
 @register("j9_assign_chunks", f"""
@@ -244,23 +251,23 @@ WITH d AS ({DEDUP_SQL}), e AS (SELECT max(ts) AS end_ts FROM d),
      c AS (SELECT CAST(i AS INTEGER) AS chunk_no,
                   end_ts - to_hours(CAST(({K.CHUNK_HOURS} * (i + 1)) AS BIGINT)) AS c_start,
                   end_ts - to_hours(CAST(({K.CHUNK_HOURS} * i) AS BIGINT)) AS c_end
-           FROM range({CHUNK_N}) r(i), e)
+           FROM (SELECT unnest(range({N_CHUNKS_SQL})) AS i) r, e)
 SELECT d.station, d.indicator, d.ts, d.value, c.chunk_no FROM d JOIN c ON d.ts BETWEEN c.c_start AND c.c_end""")
 def q_j9(spark, sf_dir):
     d = deduped(spark, sf_dir).select("station", "indicator", "ts", "value", "chunk_no")
     end = d.select(F.max("ts")).scalar()
-    return J.assign_chunks(d, end, K.CHUNK_HOURS, CHUNK_N)
+    return J.assign_chunks(d, end, K.CHUNK_HOURS, n_chunks(d))
 
 
 @register("s11_chunk_windows", f"""
 WITH e AS (SELECT max(CAST(date_trunc('hour', ts) AS TIMESTAMP)) AS end_ts FROM events)
 SELECT CAST(i AS INTEGER) AS chunk_no, end_ts - to_hours(CAST(({K.CHUNK_HOURS} * (i + 1)) AS BIGINT)) AS start,
        end_ts - to_hours(CAST(({K.CHUNK_HOURS} * i) AS BIGINT)) AS "end"
-FROM range({CHUNK_N}) r(i), e""")
+FROM (SELECT unnest(range({N_CHUNKS_SQL})) AS i) r, e""")
 def q_s11(spark, sf_dir):
     obs = load_obs(spark, sf_dir)
     end = obs.select(F.max("ts")).first()[0]   # one scalar parameter
-    return J.chunk_windows(spark, end, K.CHUNK_HOURS, CHUNK_N)
+    return J.chunk_windows(spark, end, K.CHUNK_HOURS, n_chunks(obs))
 
 
 # ---------------------------------------------------------------- 2.4 -------
@@ -455,14 +462,15 @@ WITH d AS ({OBS_SQL}), e AS (SELECT max(ts) AS end_ts FROM d),
      c AS (SELECT CAST(i AS INTEGER) AS chunk_no,
                   end_ts - to_hours(CAST(({K.CHUNK_HOURS} * (i + 1)) AS BIGINT)) AS c_start,
                   end_ts - to_hours(CAST(({K.CHUNK_HOURS} * i) AS BIGINT)) AS c_end
-           FROM range({CHUNK_N}) r(i), e)
+           FROM (SELECT unnest(range({N_CHUNKS_SQL})) AS i) r, e)
 SELECT d.station, d.indicator, d.ts, d.value, c.chunk_no
 FROM d JOIN c ON d.ts BETWEEN c.c_start AND c.c_end
 QUALIFY row_number() OVER (PARTITION BY d.station, d.indicator, d.ts ORDER BY c.chunk_no, d.seq) = 1""")
 def q_u1(spark, sf_dir):
     o = load_obs(spark, sf_dir).select("station", "indicator", "ts", "value", "chunk_no", "seq")
-    tagged = J.assign_chunks(o, o.select(F.max("ts")).scalar(), K.CHUNK_HOURS, CHUNK_N)
-    chunks = [tagged.where(F.col("chunk_no") == c) for c in range(CHUNK_N)]   # one frame per fetch
+    n = n_chunks(o)
+    tagged = J.assign_chunks(o, o.select(F.max("ts")).scalar(), K.CHUNK_HOURS, n)
+    chunks = [tagged.where(F.col("chunk_no") == c) for c in range(n)]   # one frame per fetch
     merged = O.union_chunks(chunks)
     return A.dedup_first(merged, ["station", "indicator", "ts"], ["chunk_no", "seq"]).drop("seq")
 

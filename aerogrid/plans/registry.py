@@ -21,7 +21,15 @@ from pyspark.sql import functions as F
 from aerogrid import constants as K
 from aerogrid.plans.model import Model
 
-TABLES = ("model_coef", "model_scaler", "model_meta", "run_metrics", "model_versions")
+#: Tables with one partition per run, and their columns.
+RUN_TABLES = {
+    "model_coef": "run_id string, target int, intercept double, coef array<double>",
+    "model_scaler": "run_id string, idx int, mean double, std double",
+    "run_metrics": "run_id string, metric string, value double",
+    "model_meta": "run_id string, training_hours int, n_steps int, features array<string>, "
+                  "features_additional array<string>, model_type string, alpha double, created_ms bigint",
+}
+TABLES = (*RUN_TABLES, "model_versions")
 
 
 def _path(root: str, name: str) -> str:
@@ -30,30 +38,31 @@ def _path(root: str, name: str) -> str:
 
 def save_model(spark: SparkSession, model: Model, root: str, version: int, stage: str = K.STAGE_NONE,
                created_ms: int = 0, name: str = K.MODEL_NAME) -> None:
-    """Write the model tables for one run and register a version (M7)."""
+    """Write the model tables for one run and register a version (M7).
+
+    Artefacts lie in one partition per run, which a second save of the run
+    replaces; only the version rows are appended.  The metadata is written
+    last, so a run without it was not saved whole.
+    """
     rid = model.run_id
-    coef = [(rid, int(t), float(model.b[t]), [float(v) for v in model.W[t]]) for t in range(len(model.b))]
-    spark.createDataFrame(coef, "run_id string, target int, intercept double, coef array<double>") \
-        .write.mode("append").parquet(_path(root, "model_coef"))
-    sc = [(rid, i, float(m), float(s)) for i, (m, s) in enumerate(zip(model.mean, model.std))]
-    spark.createDataFrame(sc, "run_id string, idx int, mean double, std double") \
-        .write.mode("append").parquet(_path(root, "model_scaler"))
-    meta = [(rid, model.T, model.n, model.features, list(K.TIME_FEATURES), K.MODEL_TYPE, float(model.alpha),
-             int(created_ms))]
-    spark.createDataFrame(meta, "run_id string, training_hours int, n_steps int, features array<string>, "
-                                "features_additional array<string>, model_type string, alpha double, "
-                                "created_ms bigint") \
-        .write.mode("append").parquet(_path(root, "model_meta"))
-    met = [(rid, k, float(v)) for k, v in model.metrics.items()]
-    spark.createDataFrame(met, "run_id string, metric string, value double") \
-        .write.mode("append").parquet(_path(root, "run_metrics"))
+    rows = {
+        "model_coef": [(rid, int(t), float(model.b[t]), [float(v) for v in model.W[t]]) for t in range(len(model.b))],
+        "model_scaler": [(rid, i, float(m), float(s)) for i, (m, s) in enumerate(zip(model.mean, model.std))],
+        "run_metrics": [(rid, k, float(v)) for k, v in model.metrics.items()],
+        "model_meta": [(rid, model.T, model.n, model.features, list(K.TIME_FEATURES), K.MODEL_TYPE, float(model.alpha),
+                        int(created_ms))],
+    }
+    for table, data in rows.items():
+        (spark.createDataFrame(data, RUN_TABLES[table]).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(_path(root, table)))
     ver = [(name, int(version), rid, stage, int(created_ms))]
     spark.createDataFrame(ver, "name string, version int, run_id string, stage string, creation_timestamp bigint") \
         .write.mode("append").parquet(_path(root, "model_versions"))
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(_path(root, table))
+    reader = spark.read.schema(RUN_TABLES[table]) if table in RUN_TABLES else spark.read
+    return reader.parquet(_path(root, table))
 
 
 def load_model(spark: SparkSession, root: str, run_id: str) -> Model:
@@ -76,6 +85,13 @@ def load_model(spark: SparkSession, root: str, run_id: str) -> Model:
                  W, coef["intercept"].to_numpy(dtype=np.float64), float(meta["alpha"]), mets)
 
 
+def load_registered(spark: SparkSession, root: str, name: str = K.MODEL_NAME, version: int | None = None,
+                    run_id: str | None = None) -> Model:
+    """Resolve a version as ``resolve_model`` does and load its run (M7, M8)."""
+    row = resolve_model_row(read(spark, root, "model_versions"), name=name, version=version, run_id=run_id)
+    return load_model(spark, root, row["run_id"])
+
+
 def resolve_model(versions: DataFrame, name: str = K.MODEL_NAME, version: int | None = None,
                   run_id: str | None = None) -> DataFrame:
     """Which version to serve (M8, O4): the explicit version, else the run,

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from aerogrid import constants as K
 from aerogrid.functions.scalars import cyclic_time_features, series_key
 from aerogrid.operators.aggregates import column_stats
-from aerogrid.operators.joins import MAX_SERIES
 from aerogrid.operators.windows import window_arrays, with_row_index
 
 
@@ -37,8 +36,6 @@ def feature_index_column(series: Sequence[tuple[str, str]], station: str = "stat
 def wide_rows(filled: DataFrame, series: Sequence[tuple[str, str]], ts: str = "ts",
               value: str = "value") -> DataFrame:
     """One row per timestamp: ``vec`` = values in feature order (group size = #series)."""
-    if len(series) > MAX_SERIES:
-        raise ValueError(f"more than {MAX_SERIES} series")
     fi = feature_index_column(series)
     per_ts = filled.select(ts, fi.alias("_fi"), value).where(F.col("_fi").isNotNull()).groupBy(ts).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_fi"), F.col(value)))).alias("_cells"))

@@ -99,7 +99,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    and the master is local (tests), a scratch folder is created and
+    registered; on a cluster a machine-local folder would lose data, so an
+    unset one is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -107,6 +109,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="aerogrid-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

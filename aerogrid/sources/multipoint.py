@@ -138,88 +138,112 @@ def decode_fields(raw_docs: DataFrame, params: DataFrame | None = None) -> DataF
     unit from ``params(href, name, units)`` (left join; unit "" when the
     description has none); otherwise the inline label and unit code.
     """
-    f = f"//{_any('field')}"
-    z = raw_docs.select("doc_id", F.posexplode(F.arrays_zip(
-        F.xpath("xml", _x(f"{f}/@name")).alias("code"),
-        F.xpath("xml", _x(f"{f}/{_any('label')}/text()")).alias("label"),
-        F.xpath("xml", _x(f"{f}/{_any('uom')}/@code")).alias("uom"))).alias("field_no", "f"))
-    out = z.select("doc_id", "field_no", F.col("f.code").alias("code"), F.col("f.label").alias("label"),
-                   F.col("f.uom").alias("uom"))
-    hrefs = raw_docs.select("doc_id", F.posexplode(F.xpath("xml", _x(f"{f}/@*[local-name()='href']")))
-                            .alias("field_no", "href"))
+    fields = raw_docs.select("doc_id", F.posexplode(fields_of(F.col("xml"))).alias("field_no", "f")).select(
+        "doc_id", "field_no", "f.code", "f.href", "f.indicator", "f.units")
+    return _with_params(fields, params).select("doc_id", "field_no", "code", "indicator", "units")
+
+
+def fields_of(xml: Column) -> Column:
+    """Array of ``(code, href, indicator, units)``, one per field element in
+    order.  Each element is read by itself, so a part that one field lacks
+    does not shift those of the next.  A linked field without an inline label
+    has its code for an indicator and no unit."""
+    elements = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?field\b[^>]*?(?:/>|>.*?</(?:\w+:)?field\s*>)"), F.lit(0))
+
+    def part(e: Column, pattern: str) -> Column:
+        raw = F.nullif(F.regexp_extract(e, pattern, 1), F.lit(""))
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            raw = F.replace(raw, F.lit(entity), F.lit(char))
+        return raw
+
+    def parts(e: Column) -> Column:
+        code, href = part(e, r"(?s)^<[^>]*?\sname=\"([^\"]*)\""), part(e, r"(?s)^<[^>]*?\s(?:\w+:)?href=\"([^\"]*)\"")
+        label, unit = part(e, r"(?s)<(?:\w+:)?label[^>]*>([^<]*)<"), part(e, r"(?s)<(?:\w+:)?uom\b[^>]*?\scode=\"([^\"]*)\"")
+        linked = href.isNotNull()
+        return F.struct(code.alias("code"), href.alias("href"), F.when(linked, F.coalesce(label, code)).otherwise(label).alias("indicator"),
+                        F.when(linked, F.coalesce(unit, F.lit(""))).otherwise(unit).alias("units"))
+
+    return F.transform(elements, parts)
+
+
+def _with_params(rows: DataFrame, params: DataFrame | None) -> DataFrame:
+    """Name and unit of linked fields from ``params(href, name, units)``."""
     if params is None:
-        return out.select("doc_id", "field_no", "code", F.col("label").alias("indicator"),
-                          F.col("uom").alias("units"))
-    # hrefs only exist on linked fields; positions of linked fields are
-    # matched by order, which holds when either all or no fields link.
-    from aerogrid.operators.joins import broadcast_checked
-    linked = out.join(hrefs, ["doc_id", "field_no"], "left").join(
-        broadcast_checked(params.select("href", F.col("name").alias("p_name"), F.col("units").alias("p_units"))),
-        "href", "left")
-    return linked.select("doc_id", "field_no", "code",
-                         F.coalesce("p_name", "label").alias("indicator"),
-                         F.when(F.col("href").isNotNull(), F.coalesce("p_units", F.lit(""))).otherwise(
-                             F.col("uom")).alias("units"))
+        return rows
+    known = params.select(F.col("href").alias("p_href"), F.col("name").alias("p_name"), F.col("units").alias("p_units"))
+    joined = rows.join(known, rows["href"] == known["p_href"], "left")
+    return joined.withColumns({
+        "indicator": F.coalesce("p_name", "indicator"),
+        "units": F.when(F.col("p_href").isNotNull(), F.coalesce("p_units", F.lit(""))).otherwise(F.col("units")),
+    }).drop("p_href", "p_name", "p_units")
 
 
-def decode_multipoint(raw_docs: DataFrame, strict: bool = False) -> DataFrame:
+def decode_multipoint(raw_docs: DataFrame, strict: bool = False, params: DataFrame | None = None) -> DataFrame:
     """Observations from documents.
 
     Output ``(doc_id, chunk_no, station, indicator, units, ts, value, seq)``
     with NaN -> NULL.  The same (time, station, indicator) twice in one
     document keeps the last one (A3).  ``strict``: a position matching no
-    point raises; otherwise the row is dropped.
+    point raises; otherwise the row is dropped.  Of several points at one
+    coordinate the last gives the name.  Linked fields take name and unit from
+    ``params`` (see ``decode_fields``).  A document without values gives no rows.
     """
+    return dedup_last(_decoded_cells(raw_docs, strict, params), ["doc_id", "station", "indicator", "ts"], ["seq"])
+
+
+def _decoded_cells(raw_docs: DataFrame, strict: bool, params: DataFrame | None) -> DataFrame:
+    """One row per value of the documents; other columns than ``xml`` are kept."""
+    ids = [c for c in raw_docs.columns if c != "xml"]
     pos = S.text_to_doubles(F.xpath_string("xml", _x(f"//{_any('positions')}")))
     vals = S.text_to_doubles(F.xpath_string("xml", _x(f"//{_any('doubleOrNilReasonTupleList')}")))
     tpos = F.xpath_string("xml", _x(f"//{_any('timePosition')}"))
     pnames = F.xpath("xml", _x(f"//{_any('Point')}/{_any('name')}/text()"))
     ppos = F.xpath("xml", _x(f"//{_any('Point')}/{_any('pos')}/text()"))
-    labels = F.xpath("xml", _x(f"//{_any('field')}/{_any('label')}/text()"))
-    uoms = F.xpath("xml", _x(f"//{_any('field')}/{_any('uom')}/@code"))
-    base = raw_docs.select("doc_id", "chunk_no", pos.alias("pos"), vals.alias("vals"), tpos.alias("tpos"),
-                           pnames.alias("pnames"), ppos.alias("ppos"), labels.alias("labels"), uoms.alias("uoms"))
+    base = raw_docs.select(*ids, pos.alias("pos"), vals.alias("vals"), tpos.alias("tpos"), pnames.alias("pnames"),
+                           ppos.alias("ppos"), fields_of(F.col("xml")).alias("fields"))
     lats, lons, epochs = S.stride("pos", 3, 0), S.stride("pos", 3, 1), S.stride("pos", 3, 2)
     # times from positions; a document without positions has one time
     times = F.when(F.size(epochs) > 0, F.transform(epochs, lambda e: S.epoch_seconds_to_ts(e))).otherwise(
-        F.array(F.to_timestamp(F.col("tpos"), TIME_FORMAT).cast("timestamp_ntz")))
+        F.array_compact(F.array(F.try_to_timestamp(F.col("tpos"), F.lit(TIME_FORMAT)).cast("timestamp_ntz"))))
     # point coordinates -> name, keyed by the parsed (lat, lon) pair (J3 in-row)
     pkeys = F.transform("ppos", lambda p: F.struct(F.get(S.text_to_doubles(p), 0).alias("lat"),
                                                    F.get(S.text_to_doubles(p), 1).alias("lon")))
-    step = base.select("doc_id", "chunk_no", "vals", "labels", "uoms", lats.alias("lats"), lons.alias("lons"),
-                       times.alias("times"), F.map_from_arrays(pkeys, F.col("pnames")).alias("loc2name"))
-    n_rows, n_f = F.size("times"), F.size("labels")
+    step = base.select(*ids, "vals", "fields", lats.alias("lats"), lons.alias("lons"), times.alias("times"),
+                       F.reverse(pkeys).alias("pkeys"), F.reverse("pnames").alias("pnames"))
+    n_rows, n_f = F.size("times"), F.size("fields")
     # the shape check is a projected expression, not a filter: a filter would
     # be pushed below the parse and re-run the XPath evaluation inside it
     checked = step.withColumn("vals", F.when(S.check_reshape(F.col("vals"), n_rows, n_f), F.col("vals")))
     # *_outer: a plain explode makes the optimizer infer ``size(times) > 0``
     # and push it below this projection, re-evaluating the parse there
-    rows = checked.select("doc_id", "chunk_no", "vals", "labels", "uoms", "loc2name", F.size("labels").alias("nf"),
+    rows = checked.select(*ids, "vals", "fields", "pkeys", "pnames", n_f.alias("nf"),
                           F.posexplode_outer("times").alias("i", "ts"), "lats", "lons").where(F.col("i").isNotNull())
     key = F.struct(F.get("lats", F.col("i")).alias("lat"), F.get("lons", F.col("i")).alias("lon"))
-    station = F.col("loc2name")[key]
+    # reversed, so the last of several points at one coordinate is found first
+    station = F.get("pnames", (F.array_position("pkeys", key) - 1).cast("int"))
     if strict:
         station = F.when(station.isNotNull(), station).otherwise(
             F.raise_error(F.concat(F.lit("unknown location in document "), F.col("doc_id").cast("string"))))
-    rows = rows.select("doc_id", "chunk_no", "vals", "labels", "uoms", "nf", "i", "ts", station.alias("station"))
+    rows = rows.select(*ids, "vals", "fields", "nf", "i", "ts", station.alias("station"))
     if not strict:
         rows = rows.where(F.col("station").isNotNull())
-    cells = rows.select("doc_id", "chunk_no", "station", "ts", "i", "vals", "nf",
-                        F.posexplode_outer(F.arrays_zip("labels", "uoms")).alias("j", "f")).where(F.col("j").isNotNull())
-    out = cells.select("doc_id", "chunk_no", "station", F.col("f.labels").alias("indicator"),
-                       F.col("f.uoms").alias("units"), "ts",
-                       S.cell(F.col("vals"), F.col("i"), F.col("j"), F.col("nf")).alias("value"),
-                       (F.col("i") * F.col("nf") + F.col("j")).cast("long").alias("seq"))
-    return dedup_last(out, ["doc_id", "station", "indicator", "ts"], ["seq"])
+    cells = rows.select(*ids, "station", "ts", "i", "vals", "nf",
+                        F.posexplode_outer("fields").alias("j", "f")).where(F.col("j").isNotNull())
+    cells = cells.select(*ids, "station", F.col("f.href").alias("href"), F.col("f.indicator").alias("indicator"),
+                         F.col("f.units").alias("units"), "ts", S.cell(F.col("vals"), F.col("i"), F.col("j"), F.col("nf")).alias("value"),
+                         (F.col("i") * F.col("nf") + F.col("j")).cast("long").alias("seq"))
+    return _with_params(cells, params).drop("href")
 
 
-def decode_members(raw_docs: DataFrame) -> DataFrame:
-    """Member-by-member decode for collection documents (S10 then S5)."""
+def decode_members(raw_docs: DataFrame, strict: bool = False, params: DataFrame | None = None) -> DataFrame:
+    """Member-by-member decode for collection documents (S10 then S5); of
+    equal (station, indicator, time) the last member's last value is kept."""
     m = explode_members(raw_docs)
     wrapped = m.select("doc_id", "chunk_no", "member_no",
                        F.concat(F.lit(f"<wfs:FeatureCollection {NS}>"), F.col("xml"),
                                 F.lit("</wfs:FeatureCollection>")).alias("xml"))
-    return decode_multipoint(wrapped.drop("member_no"))
+    cells = _decoded_cells(wrapped, strict, params)
+    return dedup_last(cells, ["doc_id", "station", "indicator", "ts"], ["member_no", "seq"]).drop("member_no")
 
 
 def collect_series(decoded: DataFrame) -> DataFrame:

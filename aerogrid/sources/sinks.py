@@ -12,18 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_station(obs: DataFrame, path: str, station: str = "station", mode: str = "overwrite",
-                  spread: int = 16) -> None:
+def write_station(obs: DataFrame, path: str, station: str = "station", mode: str = "overwrite") -> None:
     """One folder per station, spaces in the name -> ``_``.
 
-    Rows are repartitioned by (station folder, salt) before the write: each
-    task writes few folders (no small-file fan-out), and a station holding
-    a large share of the rows is written by ``spread`` tasks, not one.  The
-    salt is a hash of the row, so a retried task sees the same rows.
+    Rows are rebalanced by station folder before the write: each task writes
+    few folders (no small-file fan-out), and AQE splits a station with a large
+    share of the rows by its measured size, over as many tasks as it needs.
     """
     out = obs.withColumn("station_dir", F.replace(F.col(station), F.lit(" "), F.lit("_")))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in obs.columns]), F.lit(spread))
-    (out.repartition("station_dir", salt).write.mode(mode).partitionBy("station_dir").parquet(path))
+    out.hint("rebalance", F.col("station_dir")).write.mode(mode).partitionBy("station_dir").parquet(path)
 
 
 def write_total(wide: DataFrame, path: str, kind: str) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -78,24 +79,25 @@ def read_stations(spark: SparkSession, root: str, names: list[str] | None = None
 def freshness(spark: SparkSession, path: str, as_of) -> DataFrame:
     """Dataset freshness (S17): exists, last_modified, age_hours.
 
-    Uses the hidden ``_metadata`` column of the file source; one aggregate row.
-    A path that does not exist yields ``exists = false`` and NULLs.
+    Lists the files (path and modification time, no content); one aggregate
+    row.  A path that does not exist yields ``exists = false`` and NULLs; any
+    other failure is raised.
     """
     from aerogrid.functions.scalars import age_hours, ts_lit
 
     as_of_col = ts_lit(as_of)
     try:
-        df = spark.read.parquet(path)
-    except Exception:  # AnalysisException: path does not exist
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.range(1).select(
             F.lit(False).alias("exists"),
             F.lit(None).cast("timestamp_ntz").alias("last_modified"),
             F.lit(None).cast("double").alias("age_hours"),
             F.lit(0).cast("long").alias("n_files"))
-    meta = df.select(F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("mtime"),
-                     F.col("_metadata.file_path").alias("file_path"))
-    agg = meta.agg(F.max("mtime").alias("last_modified"),
-                   F.count_distinct("file_path").alias("n_files"))
+    agg = files.agg(F.max(F.col("modificationTime").cast("timestamp_ntz")).alias("last_modified"),
+                    F.count("path").alias("n_files"))
     return agg.select(
         (F.col("n_files") > 0).alias("exists"),
         F.col("last_modified"),
