@@ -442,7 +442,7 @@ def test_pseudo_likelihood_matches_a_slow_sum(docs):
     table = model.logp.reshape(k + 1, k + 1, k)
     assert np.allclose(np.exp(table).sum(axis=2), 1, atol=1e-4)
     for r in lm_scoring.score(docs, model, keep=["doc_id", "text"]).collect():
-        ids = [k, *model.vocabulary.encode(lm_scoring.tokens(r["text"]), {}).tolist(), k]
+        ids = [k, *model.vocabulary.coder().encode(lm_scoring.tokens(r["text"])).tolist(), k]
         slow = sum(float(table[ids[i - 1], ids[i + 1], ids[i]]) for i in range(1, len(ids) - 1))
         assert r["n_tokens"] == len(ids) - 2 and r["pll"] == pytest.approx(slow, rel=1e-5, abs=1e-5)
 
