@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from aerogrid.llm.common import ascii_lower, free_name, land
 
-#: Runs of a-z, 0-9 and characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: runs of ASCII other than a-z and 0-9.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same runs in a text whose A-Z are not lower-cased yet, with what stands before them.
 SPACED_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 AFTER_LAST = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
@@ -19,7 +19,8 @@ BROADCAST_WINDOWS, BROADCAST_CHARS = 2_000_000, 256 << 20
 
 def words(text: Column) -> Column:
     """Normalised words of a text; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    # a split costs a quarter of extracting every match; only its ends can be empty
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def windows(tokens: Column, length: int) -> Column:
