@@ -4,6 +4,7 @@ predict, metrics, registry, forecast and the forecast document."""
 from __future__ import annotations
 
 import datetime as dt
+import math
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
@@ -113,16 +114,10 @@ def q_m3(spark, sf_dir):
 
 # ------------------------------------------------------------ fitted model ---
 
-_MODELS: dict = {}
-
-
 def trained(spark, sf_dir) -> M.Model:
-    """One fitted model per (session, input folder) within the process."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = M.train(spark, filled(spark, sf_dir), testbed_series(), T, N_STEPS,
-                               K.LASSO_ALPHA, run_id=f"run-{zlib.crc32(sf_dir.encode()):08x}")
-    return _MODELS[key]
+    """The model fitted on the whole input as it is now."""
+    return M.train(spark, filled(spark, sf_dir), testbed_series(), T, N_STEPS,
+                   K.LASSO_ALPHA, run_id=f"run-{zlib.crc32(sf_dir.encode()):08x}")
 
 
 @register("m4_fit_lasso")
@@ -162,31 +157,30 @@ def q_m7(spark, sf_dir):
         "target", (F.round("intercept", 6) + 0.0).alias("intercept"), F.size("coef").alias("n_coef"))
 
 
-REGISTRY_WEEKS = 3
+RUNS_AT_ONCE = 4
 
 # SQL twin of the registry rows ``weekly_registry`` writes: the versions depend
-# only on the grid's last timestamp (week ends counted back from it).
+# on the grid's first and last timestamp (week ends counted back from the last).
 REGISTRY_SQL = f"""
-WITH e AS (SELECT max(ts) AS end_ts FROM ({GRID_SQL}) g),
-     w AS (SELECT CAST(range AS INTEGER) AS w FROM range({REGISTRY_WEEKS}))
-SELECT '{K.MODEL_NAME}' AS name, CAST({REGISTRY_WEEKS} - w AS INTEGER) AS version,
-       'week-' || lpad(CAST({REGISTRY_WEEKS} - w AS VARCHAR), 3, '0') AS run_id,
+WITH e AS (SELECT max(ts) AS end_ts, CAST(greatest(ceil(date_diff('hour', min(ts), max(ts)) / {K.CHUNK_HOURS}.0)
+                  - {K.TRAIN_CHUNKS - 1}, 1) AS INTEGER) AS weeks FROM ({GRID_SQL}) g),
+     w AS (SELECT end_ts, weeks, CAST(unnest(range(weeks)) AS INTEGER) AS w FROM e)
+SELECT '{K.MODEL_NAME}' AS name, weeks - w AS version,
+       'week-' || lpad(CAST(weeks - w AS VARCHAR), 3, '0') AS run_id,
        CASE w WHEN 0 THEN '{K.STAGE_NONE}' WHEN 1 THEN '{K.STAGE_PRODUCTION}' ELSE 'Archived' END AS stage,
        epoch_ms(end_ts - to_hours(CAST(w * {K.CHUNK_HOURS} AS BIGINT))) AS creation_timestamp
-FROM e, w
+FROM w
 """
 
 
-def weekly_registry(spark, sf_dir, weeks: int = REGISTRY_WEEKS) -> str:
-    """Back-fill the weekly retraining: one run per week-end over the last
-    ``weeks`` weeks, each trained on the preceding two weeks.  The newest run
-    is registered in stage None (not promoted yet), the one before in
-    Production, older ones Archived."""
-    key = ("registry", spark.sparkContext.applicationId, sf_dir)
-    if key in _MODELS:
-        return _MODELS[key]
+def weekly_registry(spark, sf_dir) -> str:
+    """Back-fill the weekly retraining: one run per week-end, each trained on
+    the preceding two weeks, as many as it takes to reach the first
+    timestamp.  The newest run is registered in stage None (not promoted
+    yet), the one before in Production, older ones Archived."""
     f = cut_lineage(filled(spark, sf_dir), "filled")
-    end = f.select(F.max("ts")).first()[0]
+    begin, end = f.select(F.min("ts"), F.max("ts")).first()
+    weeks = max(1, math.ceil((end - begin) / dt.timedelta(hours=K.CHUNK_HOURS)) - (K.TRAIN_CHUNKS - 1))
     root = scratch_path(spark, "registry")
 
     def run_week(w: int):
@@ -197,13 +191,11 @@ def weekly_registry(spark, sf_dir, weeks: int = REGISTRY_WEEKS) -> str:
         return w, w_end, m
 
     # independent runs: submitted from driver threads, Spark schedules them together
-    with ThreadPoolExecutor(max_workers=weeks) as pool:
-        results = list(pool.map(run_week, range(weeks)))
-    for w, w_end, m in results:
-        stage = K.STAGE_NONE if w == 0 else (K.STAGE_PRODUCTION if w == 1 else "Archived")
-        created = int(w_end.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-        R.save_model(spark, m, root, version=weeks - w, stage=stage, created_ms=created)
-    _MODELS[key] = root
+    with ThreadPoolExecutor(max_workers=RUNS_AT_ONCE) as pool:
+        for w, w_end, m in pool.map(run_week, range(weeks)):
+            stage = K.STAGE_NONE if w == 0 else (K.STAGE_PRODUCTION if w == 1 else "Archived")
+            created = int(w_end.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+            R.save_model(spark, m, root, version=weeks - w, stage=stage, created_ms=created)
     return root
 
 

@@ -13,7 +13,9 @@ CHECKED = ["a1_dedup_first", "j10_densify", "w2_bfill", "a8_wide", "p10_lookback
            "j9_assign_chunks", "u1_union_chunks", "a4_collect_by_station", "w3_ffill_table", "w4_lag_window",
            "w7_latest_per_station", "w9_dense_index", "m12_history", "m15_station_snapshot", "m1_build_samples",
            "a13_fit_scaler", "s5_decode_multipoint", "s10_decode_members", "f12_stride_positions",
-           "t3_hourly_means", "m14_flatten_forecast"]
+           "t3_hourly_means", "m14_flatten_forecast", "a14_a15_persistence_metrics", "a16_m10_model_info_persistence",
+           "s15_s16_forecast_json_persistence", "a10_compare_means_persistence", "m4_lasso_one_feature",
+           "m4_lasso_optimality", "m8_resolve_model"]
 
 
 @pytest.fixture(scope="module")
