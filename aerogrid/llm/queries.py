@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerogrid.llm import bpe, decontaminate, language_id, license_scan, lm_scoring, minhash, quality, simhash, token_counts, url_filter
+from aerogrid.llm import bpe, decontaminate, language_id, license_scan, lm_scoring, minhash, quality, simhash, token_counts, url_filter, url_filter_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,7 +61,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.train(docs), keep=["doc_id"])
 
 
-@query("op4_url_filter")
+@query("op4_url_filter", url_filter_sql.oracle(RULES))
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), RULES)
 

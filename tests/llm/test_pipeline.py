@@ -65,6 +65,16 @@ def test_decontamination_equals_its_sql(spark):
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(queries.ORACLE["op10_decontamination"]).fetchall())
 
 
+def test_url_filter_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF_SMALL}/pages.parquet')")
+    found = queries.op4(spark, SF_SMALL)
+    sql = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE['op4_url_filter']}) x").fetchall()
+    ours, theirs = ({r[0]: tuple(r) for r in rows} for rows in (found.collect(), sql))
+    assert len(sql) == found.count() and {k: v[:5] for k, v in ours.items()} == {k: v[:5] for k, v in theirs.items()}
+    assert all(abs(v[5] - theirs[k][5]) < 1e-8 for k, v in ours.items())
+
+
 def test_language_is_learned_outside_the_fold_and_right_inside(spark, monkeypatch):
     seen = []
     real = language_id.train
