@@ -88,30 +88,26 @@ def dedup_stream(spark: SparkSession, folder: str, schema: StructType, out: str
 
 def hourly_means_stream(spark: SparkSession, folder: str, schema: StructType, out: str | None = None,
                         ckpt: str | None = None) -> str:
-    """Hourly tumbling mean per series, written per micro-batch.
+    """Hourly tumbling mean per series, as partial sums per micro-batch.
 
-    Update mode: each batch upserts the windows it touched; every batch is
-    stored with its ``batch_id`` and readers keep the newest row per window
-    (``read_hourly_means``).  Window state is evicted by the watermark.
+    A batch stores one row of sums per window that it touches, in a folder of
+    its own which a replay overwrites; readers add the batches up
+    (``read_hourly_means``).  No state is kept and no watermark passes, so a
+    late or back-filled file counts like any other, whenever it lands.
     """
     out = out or scratch_path(spark, "stream-hourly")
     ckpt = ckpt or out + "-ckpt"
     ev = landed_events(spark, folder, schema)
-    agg = (ev.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", WATERMARK)
-           .groupBy(F.window("event_time", "1 hour").alias("w"), F.col("event_type").alias("station"),
-                    indicator_of("user_id").alias("indicator"))
-           # NaN is "missing" here too (Q1): it leaves the mean, not the row count
-           .agg(F.avg(F.nanvl(F.col("value"), F.lit(None).cast("double"))).alias("mean_value"),
-                F.count(F.lit(1)).alias("n")))
+    # NaN is "missing" here too (Q1): it leaves the mean, not the row count
+    value = F.nanvl(F.col("value"), F.lit(None).cast("double"))
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        (df.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "station", "indicator",
-                   "mean_value", "n", F.lit(batch_id).cast("long").alias("batch_id"))
-         .write.mode("append").parquet(out))
+        (df.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"),
+                    F.col("event_type").alias("station"), indicator_of("user_id").alias("indicator"))
+         .agg(F.sum(value).alias("total"), F.count(value).alias("n_values"), F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 
-    with _no_idle_batches(spark):
-        q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = ev.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -119,8 +115,8 @@ def hourly_means_stream(spark: SparkSession, folder: str, schema: StructType, ou
 
 
 def read_hourly_means(spark: SparkSession, out: str) -> DataFrame:
-    """Final value per (window, series): the row of the newest batch."""
-    df = spark.read.parquet(out)
-    keys = ["window_start", "station", "indicator"]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct("mean_value", "n"), "batch_id").alias("r"))
-    return g.select(*keys, F.col("r.mean_value").alias("mean_value"), F.col("r.n").alias("n"))
+    """Mean and row count per (window, series) over all batches so far."""
+    g = spark.read.parquet(out).groupBy("window_start", "station", "indicator").agg(
+        F.sum("total").alias("total"), F.sum("n_values").alias("n_values"), F.sum("n").alias("n"))
+    return g.select("window_start", "station", "indicator",
+                    F.when(F.col("n_values") > 0, F.col("total") / F.col("n_values")).alias("mean_value"), "n")

@@ -6,6 +6,9 @@ import datetime as dt
 import time
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from aerogrid.operators.joins import densify, series_table
@@ -14,6 +17,7 @@ from aerogrid.plans import registry as R
 from aerogrid.plans.model import Model
 from aerogrid.sources import multipoint as MP
 from aerogrid.sources.tables import freshness
+from aerogrid.streaming import ingest
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -85,3 +89,23 @@ def test_freshness_lists_files(spark, tmp_path):
     row = freshness(spark, path, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).first()
     assert row["exists"] and row["n_files"] == 3 and row["age_hours"] < 1
     assert not freshness(spark, path + "-none", T0).first()["exists"]
+
+
+def test_late_file_counts_in_hourly_means(spark, tmp_path):
+    """Two runs over one landing folder; the second file is older than any watermark would allow."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+    def land(no, rows):
+        (tmp_path / "in" / no).mkdir(parents=True)
+        frame = pd.DataFrame([(i, pd.Timestamp(t), 0, "a", v, None) for i, t, v in rows],
+                             columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        table = pa.Table.from_pandas(frame.astype({"ts": "datetime64[us]"}), preserve_index=False)
+        pq.write_table(table.set_column(5, "props", pa.nulls(len(frame), pa.string())), tmp_path / "in" / no / "events.parquet")
+
+    out = str(tmp_path / "out")
+    for no, rows in (("1", [(1, "2024-03-09 10:05", 4.0), (2, "2024-03-01 10:05", 1.0), (3, "2024-03-01 10:10", float("nan"))]),
+                     ("2", [(4, "2024-03-01 10:59", 3.0), (5, "2024-01-01 00:00", 7.0)])):
+        land(no, rows)
+        ingest.hourly_means_stream(spark, str(tmp_path / "in" / "*"), schema, out)
+    found = {str(r["window_start"]): (r["mean_value"], r["n"]) for r in ingest.read_hourly_means(spark, out).collect()}
+    assert found == {"2024-03-09 10:00:00": (4.0, 1), "2024-03-01 10:00:00": (2.0, 3), "2024-01-01 00:00:00": (7.0, 1)}
