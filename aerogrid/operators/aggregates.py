@@ -12,19 +12,56 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from aerogrid.functions.scalars import series_key
 
 
+_INT = (ByteType, ShortType, IntegerType)
+_FIXED = (*_INT, LongType, FloatType, DoubleType, BooleanType, DateType, TimestampType, TimestampNTZType, DecimalType)
+_LEAST = -(1 << 63)
+
+
 def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def _packed_order(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """One fixed-width column that sorts like ``order`` (nulls first): a whole
+    number itself, or an int and a whole number as one decimal.  None for others."""
+    kinds = [df.schema[c].dataType for c in order]
+    if not all(isinstance(k, (*_INT, LongType)) for k in kinds) or len(order) > 2 or not all(isinstance(k, _INT) for k in kinds[:-1]):
+        return None
+    last = F.coalesce(F.col(order[-1]).cast("long"), F.lit(_LEAST))
+    if len(order) == 1:
+        return last
+    head = F.coalesce(F.col(order[0]).cast("long"), F.lit(-(1 << 32))).cast("decimal(10,0)")
+    return head * F.lit(str(1 << 64)).cast("decimal(20,0)") + last.cast("decimal(19,0)")
+
+
 def _dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: bool) -> DataFrame:
+    """One row per key.  Where all other columns have a fixed width, each is
+    picked by one packed order column, which Spark hash-aggregates; with texts
+    among them the row is picked as a struct, which it sorts."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    payload = F.struct(*[F.col(c) for c in rest])
     pick = F.min_by if first else F.max_by
+    rank = _packed_order(df, order)
+    if rest and rank is not None and all(isinstance(df.schema[c].dataType, _FIXED) for c in rest):
+        return df.groupBy(*keys).agg(*[pick(F.col(c), rank).alias(c) for c in rest])
+    payload = F.struct(*[F.col(c) for c in rest])
     agg = df.groupBy(*keys).agg(pick(payload, _order_struct(order)).alias("_row"))
     return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 

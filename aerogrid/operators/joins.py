@@ -40,8 +40,14 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 
 def merge_on(left: DataFrame, right: DataFrame, on: Sequence[str] | str = "ts",
              how: str = "full_outer") -> DataFrame:
-    """Outer merge with USING semantics: one coalesced key column (J1, pair form)."""
-    return left.join(right, on=list(on) if not isinstance(on, str) else [on], how=how)
+    """Outer merge with one coalesced key column (J1, pair form).  Null keys match each other."""
+    keys = [on] if isinstance(on, str) else list(on)
+    a, b = left.alias("_l"), right.alias("_r")
+    same = reduce(lambda x, y: x & y, [F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`")) for k in keys])
+    return a.join(b, same, how).select(
+        *[F.coalesce(F.col(f"_l.`{k}`"), F.col(f"_r.`{k}`")).alias(k) for k in keys],
+        *[F.col(f"_l.`{c}`") for c in left.columns if c not in keys],
+        *[F.col(f"_r.`{c}`") for c in right.columns if c not in keys])
 
 
 def merge_all(dfs: Sequence[DataFrame], on: str = "ts") -> DataFrame:
@@ -138,11 +144,11 @@ def obs_in_box(obs: DataFrame, stations: DataFrame, box, station: str = "station
 
 
 def resolve_station(points: DataFrame, stations: DataFrame, lat: str = "lat", lon: str = "lon",
-                    strict: bool = False) -> DataFrame:
+                    strict: bool = True) -> DataFrame:
     """Coordinates -> station name by exact (lat, lon) match.
 
-    ``strict``: an unknown coordinate raises (left join + ``raise_error``);
-    otherwise unknown points are dropped (inner join).
+    An unknown coordinate raises (left join + ``raise_error``); with
+    ``strict=False`` unknown points are dropped (inner join).
     """
     dim = stations.select(F.col("latitude").alias(lat), F.col("longitude").alias(lon), "station")
     if not strict:

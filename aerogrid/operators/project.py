@@ -111,10 +111,10 @@ def require_rows(df: DataFrame, k: int, what: str = "rows") -> None:
         raise ValueError(f"need at least {k} {what}, found {n}")
 
 
-def sufficiency(df: DataFrame, k: int) -> DataFrame:
-    """One row: count, min_required, sufficient."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(k).alias("min_required"), (F.col("n_rows") >= k).alias("sufficient"))
+def sufficiency(df: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per value of ``by``: count, min_required, sufficient."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        *by, "n_rows", F.lit(k).alias("min_required"), (F.col("n_rows") >= k).alias("sufficient"))
 
 
 def require_nonempty(df: DataFrame, what: str = "dataset") -> None:

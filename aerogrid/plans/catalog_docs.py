@@ -45,6 +45,26 @@ def q_s10(spark, sf_dir):
     return MP.decode_members(d).select("station", "indicator", "ts", "value", "units")
 
 
+@register("s8_document_time", DECODED_SQL)
+def q_s8(spark, sf_dir):
+    """Documents of one station and hour each, whose time stands once for the whole document."""
+    d = cut_lineage(MP.build_timed_documents(deduped(spark, sf_dir), testbed_stations(spark)))
+    return MP.decode_multipoint(d).select("station", "indicator", "ts", "value", "units")
+
+
+@register("f26_routed_decode", DECODED_SQL)
+def q_f26(spark, sf_dir):
+    """Odd days come as member collections, even ones as plain coverages; the query id tells which."""
+    obs = deduped(spark, sf_dir)
+    odd = F.dayofyear("ts") % 2 == 1
+    query = lambda df, name: df.withColumn("query_id", F.lit(f"{name}::multipointcoverage"))
+    stations = testbed_stations(spark)
+    members = query(MP.build_member_documents(obs.where(odd), stations), "stuk::observations::air::radionuclide-activity-concentration")
+    plain = query(MP.build_documents(obs.where(~odd), stations), "urban::observations::airquality::hourly")
+    d = cut_lineage(plain.unionByName(members.select(plain.columns)))
+    return MP.decode_routed(d).select("station", "indicator", "ts", "value", "units")
+
+
 @register("s6_decode_locations", f"""
 SELECT station, fmisid, latitude, longitude FROM ({STATIONS_SQL}) s
 WHERE station IN (SELECT DISTINCT station FROM ({DEDUP_SQL}) d)""")
@@ -81,7 +101,7 @@ def q_j3(spark, sf_dir):
     pts = parsed.select(F.posexplode_outer(S.stride("pos", 3, 0)).alias("i", "lat"), "pos").where("i IS NOT NULL")
     pts = pts.select(F.col("lat"), F.get("pos", F.col("i") * 3 + 1).alias("lon"),
                      S.epoch_seconds_to_ts(F.get("pos", F.col("i") * 3 + 2)).alias("ts"))
-    return resolve_station(pts, testbed_stations(spark), strict=True).select("station", "ts")
+    return resolve_station(pts, testbed_stations(spark)).select("station", "ts")
 
 
 _ROWS_SQL = f"""

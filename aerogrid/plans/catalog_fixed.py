@@ -14,11 +14,11 @@ from aerogrid.catalog import register
 from aerogrid.operators import aggregates as A
 from aerogrid.plans import model as M
 from aerogrid.plans import registry as R
-from aerogrid.plans.catalog_core import filled
+from aerogrid.plans.catalog_core import filled, recent
 from aerogrid.plans.catalog_model import FEATURES_SQL, N_FEATURES, N_STEPS, SAMPLES_SQL, T, _train_part, history_of, samples_of, trained
 from aerogrid.plans.lasso import fit_lasso, moments, predict
 from aerogrid.plans.samples import build_samples
-from aerogrid.plans.sqlparts import FILLED_SQL, GRID_SQL, HIST_SQL, norm_sql, r6
+from aerogrid.plans.sqlparts import FILLED_SQL, GRID_SQL, HIST_SQL, RECENT_GRID_SQL, RECENT_SQL, norm_sql, r6
 from aerogrid.session import cut_lineage, scratch_path
 from aerogrid.sources import sinks
 from aerogrid.sources.testbed import testbed_series
@@ -97,16 +97,16 @@ def q_m10(spark, sf_dir):
 FORECAST_SQL = f"""
 SELECT l.ts AS at, f.indicator || '_' || f.station AS feature, {norm_sql('f.indicator')} AS pollutant, f.station AS station,
        'hour_' || CAST(s.step AS VARCHAR) AS hour, l.ts + to_hours(CAST(s.step AS BIGINT)) AS timestamp, f.value AS value
-FROM ({FILLED_SQL}) f JOIN (SELECT max(ts) AS ts FROM ({GRID_SQL}) g) l ON f.ts = l.ts, range(1, {N_STEPS + 1}) AS s(step)
-WHERE (SELECT count(DISTINCT ts) FROM ({GRID_SQL}) g) >= {T}
+FROM ({RECENT_SQL}) f JOIN (SELECT max(ts) AS ts FROM ({RECENT_GRID_SQL}) g) l ON f.ts = l.ts, range(1, {N_STEPS + 1}) AS s(step)
+WHERE (SELECT count(DISTINCT ts) FROM ({RECENT_GRID_SQL}) g) >= {T}
 """
 
 
-def persistence_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def persistence_forecast(spark: SparkSession, sf_dir: str, window: DataFrame | None = None) -> DataFrame:
     """Forecast of the fixed model after it was saved and loaded again by its stage."""
     root = scratch_path(spark, "registry")
     R.save_model(spark, persistence(), root, version=1, stage=K.STAGE_PRODUCTION)
-    return M.forecast(spark, filled(spark, sf_dir), R.load_registered(spark, root))
+    return M.forecast(spark, recent(spark, sf_dir) if window is None else window, R.load_registered(spark, root))
 
 
 @register("m7_m11_forecast_persistence", f"SELECT * FROM ({FORECAST_SQL}) f")
@@ -116,10 +116,11 @@ def q_m11(spark, sf_dir):
 
 @register("s15_s16_forecast_json_persistence", f"SELECT timestamp, pollutant, value, hour, station FROM ({FORECAST_SQL}) f")
 def q_s15(spark, sf_dir):
-    pred = persistence_forecast(spark, sf_dir)
+    w = recent(spark, sf_dir)
+    pred = persistence_forecast(spark, sf_dir, w)
     path = scratch_path(spark, "forecast-json")
     at = pred.select(F.max("at")).first()[0]
-    sinks.write_forecast(M.forecast_document(pred, history_of(spark, sf_dir), at), path)
+    sinks.write_forecast(M.forecast_document(pred, history_of(spark, sf_dir, w), at), path)
     return M.flatten_forecast(sinks.read_forecast(spark, path), "predictions")
 
 
@@ -136,7 +137,8 @@ SELECT pollutant, {r6('h.m')} AS hist_avg, {r6('p.m')} AS pred_avg, {r6('p.m - h
 FROM (SELECT pollutant, avg(value) AS m FROM ({HIST_SQL}) x GROUP BY pollutant) h
 JOIN (SELECT pollutant, avg(value) AS m FROM ({FORECAST_SQL}) x GROUP BY pollutant) p USING (pollutant)""")
 def q_a10(spark, sf_dir):
-    out = A.compare_means(persistence_forecast(spark, sf_dir), history_of(spark, sf_dir))
+    w = recent(spark, sf_dir)
+    out = A.compare_means(persistence_forecast(spark, sf_dir, w), history_of(spark, sf_dir, w))
     return out.select("pollutant", *[rounded(c) for c in out.columns if c != "pollutant"])
 
 

@@ -7,7 +7,10 @@ folder (``spark.checkpoint.dir``) and reads it back through the operator.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import os
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid import constants as K
@@ -64,12 +67,49 @@ def q_s14(spark, sf_dir):
     return spark.read.parquet(latest)
 
 
-@register("s17_freshness")
+@register("s3_format_dispatch", """
+SELECT 'parquet' AS suffix, 'read' AS outcome, count(*) AS n_rows, count(DISTINCT event_id) AS n_ids FROM events
+UNION ALL SELECT 'csv', 'read', count(*), count(DISTINCT event_id) FROM events
+UNION ALL SELECT 'orc', 'ValueError', NULL, NULL
+UNION ALL SELECT 'missing', 'FileNotFoundError', NULL, NULL""")
+def q_s3(spark, sf_dir):
+    """The events by suffix, and the errors of an unknown suffix and a missing path."""
+    root = scratch_path(spark, "dispatch")
+    events = table(spark, sf_dir, "events")
+    events.write.parquet(f"{root}/events.parquet")
+    events.write.option("header", True).csv(f"{root}/events.csv")
+    found = []
+    for suffix, name in [("parquet", "events.parquet"), ("csv", "events.csv"), ("orc", "events.orc"), ("missing", "none.parquet")]:
+        try:
+            rows = read_table(spark, f"{root}/{name}").agg(F.count("*").alias("n_rows"), F.count_distinct("event_id").alias("n_ids"))
+            found.append(rows.select(F.lit(suffix).alias("suffix"), F.lit("read").alias("outcome"), "n_rows", "n_ids"))
+        except (ValueError, FileNotFoundError) as e:
+            found.append(spark.range(1).select(F.lit(suffix).alias("suffix"), F.lit(type(e).__name__).alias("outcome"),
+                                               F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("n_ids")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@register("s4_uri_scan", "SELECT l_returnflag, count(*) AS n_rows, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
+def q_s4(spark, sf_dir):
+    """A table by its full URI, as one in an object store is read: no local copy."""
+    uri = sf_dir if "://" in sf_dir else "file://" + os.path.abspath(sf_dir)
+    return read_table(spark, f"{uri}/lineitem.parquet").groupBy("l_returnflag").agg(
+        F.count("*").alias("n_rows"), F.sum("l_linenumber").cast("long").alias("lines"))
+
+
+FRESH_FILES = 3
+
+
+@register("s17_freshness", f"""
+SELECT true AS "exists", CAST({FRESH_FILES} AS BIGINT) AS n_files, true AS fresh
+UNION ALL SELECT false, 0, NULL""")
 def q_s17(spark, sf_dir):
+    """Freshness of a dataset just written in so many files, and of one that is not there."""
     root = scratch_path(spark, "fresh")
-    deduped(spark, sf_dir).write.parquet(root)
-    return freshness(spark, root, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).select(
-        "exists", "n_files", (F.col("age_hours") < 24.0).alias("fresh"))
+    deduped(spark, sf_dir).repartition(FRESH_FILES).write.parquet(root)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    both = freshness(spark, root, now).unionByName(freshness(spark, root + "-none", now))
+    return both.select("exists", "n_files", (F.col("age_hours") < 24.0).alias("fresh"))
 
 
 @register("t1_stream_ingest", f"SELECT station, indicator, ts, value, units, chunk_no, seq FROM ({OBS_SQL}) o")

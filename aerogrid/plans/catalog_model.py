@@ -16,10 +16,10 @@ from aerogrid.functions import scalars as S
 from aerogrid.operators import aggregates as A
 from aerogrid.plans import model as M
 from aerogrid.plans import registry as R
-from aerogrid.plans.catalog_core import filled
+from aerogrid.plans.catalog_core import filled, recent
 from aerogrid.plans.lasso import predict
 from aerogrid.plans.samples import build_samples, fit_scaler, scale, scaler_arrays, time_split
-from aerogrid.plans.sqlparts import FILLED_SQL, GRID_SQL, HIST_SQL, norm_sql, r6, wide_sql
+from aerogrid.plans.sqlparts import FILLED_SQL, GRID_SQL, HIST_SQL, RECENT_GRID_SQL, norm_sql, r6, wide_sql
 from aerogrid.session import cut_lineage, scratch_path
 from aerogrid.sources import sinks
 from aerogrid.sources.testbed import testbed_series
@@ -244,12 +244,12 @@ def q_m10(spark, sf_dir):
     return R.model_info(R.read(spark, root, "model_versions"), R.read(spark, root, "run_metrics"))
 
 
-def forecast_of(spark, sf_dir):
-    return M.forecast(spark, filled(spark, sf_dir), trained(spark, sf_dir))
+def forecast_of(spark, sf_dir, window=None):
+    return M.forecast(spark, recent(spark, sf_dir) if window is None else window, trained(spark, sf_dir))
 
 
-def history_of(spark, sf_dir):
-    return M.history(filled(spark, sf_dir), testbed_series(), T)
+def history_of(spark, sf_dir, window=None):
+    return M.history(recent(spark, sf_dir) if window is None else window, testbed_series(), T)
 
 
 @register("m11_forecast")
@@ -258,9 +258,9 @@ def q_m11(spark, sf_dir):
 
 
 def document_of(spark, sf_dir):
-    f = filled(spark, sf_dir)
-    at = f.select(F.max("ts")).first()[0]
-    return M.forecast_document(forecast_of(spark, sf_dir), history_of(spark, sf_dir), at)
+    w = recent(spark, sf_dir)
+    at = w.select(F.max("ts")).first()[0]
+    return M.forecast_document(forecast_of(spark, sf_dir, w), history_of(spark, sf_dir, w), at)
 
 
 @register("m14_flatten_forecast", f"SELECT timestamp, pollutant, value, hour, station FROM ({HIST_SQL}) h")
@@ -279,12 +279,13 @@ def q_s15(spark, sf_dir):
 WITH h AS ({HIST_SQL}),
      p AS (SELECT fe.station, {norm_sql('fe.indicator')} AS pollutant, s.step
            FROM ({FEATURES_SQL}) fe CROSS JOIN range({N_STEPS}) AS s(step)
-           WHERE (SELECT count(DISTINCT ts) FROM ({GRID_SQL}) g) >= {T})
+           WHERE (SELECT count(DISTINCT ts) FROM ({RECENT_GRID_SQL}) g) >= {T})
 SELECT (SELECT count(*) FROM h) AS historical_points, (SELECT count(*) FROM p) AS predicted_points,
        (SELECT count(DISTINCT pollutant) FROM p) AS n_pollutants,
        (SELECT count(DISTINCT station) FROM p) AS n_stations""")
 def q_a7(spark, sf_dir):
-    return A.forecast_overview(forecast_of(spark, sf_dir), history_of(spark, sf_dir))
+    w = recent(spark, sf_dir)
+    return A.forecast_overview(forecast_of(spark, sf_dir, w), history_of(spark, sf_dir, w))
 
 
 @register("a9_forecast_summary")
@@ -294,7 +295,8 @@ def q_a9(spark, sf_dir):
 
 @register("a10_compare_means")
 def q_a10(spark, sf_dir):
-    return A.compare_means(forecast_of(spark, sf_dir), history_of(spark, sf_dir))
+    w = recent(spark, sf_dir)
+    return A.compare_means(forecast_of(spark, sf_dir, w), history_of(spark, sf_dir, w))
 
 
 _WIDE = wide_sql(FILLED_SQL)

@@ -13,7 +13,7 @@ from aerogrid.operators import joins as J
 from aerogrid.operators import ordering as O
 from aerogrid.operators import project as P
 from aerogrid.operators import windows as W
-from aerogrid.plans.catalog_core import dense, deduped, filled
+from aerogrid.plans.catalog_core import dense, deduped, filled, recent
 from aerogrid.plans.model import history, map_rows, station_snapshot
 from aerogrid.plans.sqlparts import (DEDUP_SQL, FILLED_SQL, GRID_SQL, HIST_SQL, OBS_SQL, STATIONS_SQL,
                                      norm_sql, r6, wide_sql)
@@ -32,7 +32,7 @@ def rnd(c, d: int = 6):
 
 
 def hist(spark, sf_dir):
-    return history(filled(spark, sf_dir), testbed_series())
+    return history(recent(spark, sf_dir), testbed_series())
 
 
 # ---------------------------------------------------------------- 2.2 -------
@@ -164,9 +164,29 @@ SELECT station, count(DISTINCT ts) AS n_rows, {T + N_STEPS + K.TRAIN_EXTRA_ROWS}
 FROM ({DEDUP_SQL}) d GROUP BY station""")
 def q_p14(spark, sf_dir):
     need = T + N_STEPS + K.TRAIN_EXTRA_ROWS
-    per = deduped(spark, sf_dir).groupBy("station").agg(F.count_distinct("ts").alias("n_rows"))
-    return per.select("station", "n_rows", F.lit(need).alias("min_required"),
-                      (F.col("n_rows") >= need).alias("sufficient"))
+    return P.sufficiency(deduped(spark, sf_dir).select("station", "ts").distinct(), need, by=["station"])
+
+
+P15_TABLES = ["customer", "documents", "events", "lineitem", "orders", "pages"]
+
+
+@register("p15_nonempty_gate", " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, count(*) > 0 AS passes FROM {t}" for t in P15_TABLES)
+    + " UNION ALL SELECT 'events after the last', false")
+def q_p15(spark, sf_dir):
+    """What the gate says of whole tables, and of one filter that nothing passes."""
+    sets = {t: table(spark, sf_dir, t) for t in P15_TABLES}
+    ev = sets["events"]
+    sets["events after the last"] = ev.where(F.col("ts") > ev.agg(F.max("ts")).scalar())
+
+    def passes(df):
+        try:
+            P.require_nonempty(df)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(t, passes(df)) for t, df in sets.items()], "dataset string, passes boolean")
 
 
 # ---------------------------------------------------------------- 2.3 -------

@@ -52,7 +52,7 @@ def moments(train: DataFrame, d: int, t: int, x: str = "x", y: str = "y") -> dic
         raise ValueError(f"sample width {shift.shape[0]} != d + t = {d + t}")
     width = d + t
     # bound the partials per merge group: at most ``parts`` rows of rb x width
-    parts = max(1, 2 * spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     src = src.coalesce(parts)
     rb = int(min(max(1, MERGE_BYTES // (8 * width * parts)), max(1, -(-d // parts))))
 

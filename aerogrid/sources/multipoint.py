@@ -111,6 +111,17 @@ def build_member_documents(obs: DataFrame, stations: DataFrame) -> DataFrame:
                        F.lit(0).alias("chunk_no"), xml.alias("xml"))
 
 
+def build_timed_documents(obs: DataFrame, stations: DataFrame) -> DataFrame:
+    """Documents of one station and time each, without positions: the time
+    stands once for the whole document (S8)."""
+    per = _cells(obs, stations)
+    one = F.array(F.struct("ts", "station", "fmisid", "lat", "lon", "vals"))
+    bare = F.regexp_replace(_member_xml(one), r"<gmlcov:positions>[^<]*", "<gmlcov:positions>")
+    xml = F.concat(F.lit(f"<wfs:FeatureCollection {NS}><gml:timePosition>"), F.date_format("ts", TIME_FORMAT),
+                   F.lit("</gml:timePosition>"), bare, F.lit("</wfs:FeatureCollection>"))
+    return per.select(F.xxhash64("station", "ts").alias("doc_id"), F.lit(0).alias("chunk_no"), xml.alias("xml"))
+
+
 # --------------------------------------------------------------- decode -----
 
 def explode_members(raw_docs: DataFrame) -> DataFrame:
@@ -178,14 +189,15 @@ def _with_params(rows: DataFrame, params: DataFrame | None) -> DataFrame:
     }).drop("p_href", "p_name", "p_units")
 
 
-def decode_multipoint(raw_docs: DataFrame, strict: bool = False, params: DataFrame | None = None) -> DataFrame:
+def decode_multipoint(raw_docs: DataFrame, strict: bool = True, params: DataFrame | None = None) -> DataFrame:
     """Observations from documents.
 
     Output ``(doc_id, chunk_no, station, indicator, units, ts, value, seq)``
     with NaN -> NULL.  The same (time, station, indicator) twice in one
-    document keeps the last one (A3).  ``strict``: a position matching no
-    point raises; otherwise the row is dropped.  Of several points at one
-    coordinate the last gives the name.  Linked fields take name and unit from
+    document keeps the last one (A3).  A position matching no point raises;
+    with ``strict=False`` its row is dropped.  Of several points at one
+    coordinate the last gives the name.  A document without positions has one
+    time, and belongs to its only point (S8).  Linked fields take name and unit from
     ``params`` (see ``decode_fields``).  A document without values gives no rows.
     """
     return dedup_last(_decoded_cells(raw_docs, strict, params), ["doc_id", "station", "indicator", "ts"], ["seq"])
@@ -220,7 +232,8 @@ def _decoded_cells(raw_docs: DataFrame, strict: bool, params: DataFrame | None)
                           F.posexplode_outer("times").alias("i", "ts"), "lats", "lons").where(F.col("i").isNotNull())
     key = F.struct(F.get("lats", F.col("i")).alias("lat"), F.get("lons", F.col("i")).alias("lon"))
     # reversed, so the last of several points at one coordinate is found first
-    station = F.get("pnames", (F.array_position("pkeys", key) - 1).cast("int"))
+    station = F.when((F.size("lats") == 0) & (F.size("pnames") == 1), F.get("pnames", F.lit(0))).otherwise(
+        F.get("pnames", (F.array_position("pkeys", key) - 1).cast("int")))
     if strict:
         station = F.when(station.isNotNull(), station).otherwise(
             F.raise_error(F.concat(F.lit("unknown location in document "), F.col("doc_id").cast("string"))))
@@ -235,7 +248,7 @@ def _decoded_cells(raw_docs: DataFrame, strict: bool, params: DataFrame | None)
     return _with_params(cells, params).drop("href")
 
 
-def decode_members(raw_docs: DataFrame, strict: bool = False, params: DataFrame | None = None) -> DataFrame:
+def decode_members(raw_docs: DataFrame, strict: bool = True, params: DataFrame | None = None) -> DataFrame:
     """Member-by-member decode for collection documents (S10 then S5); of
     equal (station, indicator, time) the last member's last value is kept."""
     m = explode_members(raw_docs)
@@ -256,6 +269,12 @@ def collect_series(decoded: DataFrame) -> DataFrame:
                     F.col("pts.value").alias("values"))
 
 
-def route_query(query_id: Column) -> Column:
-    """Parser routing by query id (F26): multipoint or error."""
-    return S.require_multipoint(query_id)
+def decode_routed(raw_docs: DataFrame, query_col: str = "query_id", strict: bool = True,
+                  params: DataFrame | None = None) -> DataFrame:
+    """Each document by the parser its query id asks for (F26): member
+    collections member by member (S10), other multipoint coverages whole (S5);
+    any other id raises."""
+    known = raw_docs.where(S.require_multipoint(query_col) == "multipoint")
+    members = F.coalesce(S.is_member_collection(query_col), F.lit(False))
+    return decode_members(known.where(members).drop(query_col), strict, params).unionByName(
+        decode_multipoint(known.where(~members).drop(query_col), strict, params))

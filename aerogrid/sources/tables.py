@@ -7,15 +7,12 @@ splitting; we only add the format dispatch and the error contract.
 from __future__ import annotations
 
 import os
-from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LOCAL_SCHEMES = ("", "file")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table: ``<sf_dir>/<name>.parquet``."""
@@ -36,24 +33,24 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     """Read a Parquet or CSV table by suffix.
 
     * unknown suffix -> ``ValueError``
-    * missing local path -> ``FileNotFoundError`` (checked on the driver before planning)
+    * missing path -> ``FileNotFoundError``, as Spark finds it on the path's own file system
     * object-store URIs (``s3a://`` ...) are handed to Spark directly; no temp copy.
     """
     fmt = _format_of(path)
-    scheme = urlparse(path).scheme
-    if scheme in _LOCAL_SCHEMES:
-        local = urlparse(path).path if scheme == "file" else path
-        if not os.path.exists(local):
-            raise FileNotFoundError(f"File not found: {path}")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
-    if fmt == "parquet":
-        return reader.parquet(path)
-    # CSV: header row; schema inference only when no schema is given.
-    return reader.csv(path, header=True, inferSchema=schema is None)
+    try:
+        if fmt == "parquet":
+            return reader.parquet(path)
+        # CSV: header row; schema inference only when no schema is given.
+        return reader.csv(path, header=True, inferSchema=schema is None)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"File not found: {path}") from e
+        raise
 
 
 def read_stations(spark: SparkSession, root: str, names: list[str] | None = None,

@@ -24,10 +24,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     grain = int(os.environ.get("BENCH_GRAIN", "600"))
 
-    from aerogrid.operators.aggregates import dedup_first, to_wide
+    from aerogrid.operators.aggregates import to_wide
     from aerogrid.operators.joins import densify
     from aerogrid.operators.windows import dense_index, fill_gaps, window_arrays
     from aerogrid.plans import model as M
+    from aerogrid.plans.catalog_core import dedup_obs
     from aerogrid.plans.catalog_io import q_t3
     from aerogrid.plans.catalog_ops import q_j1
     from aerogrid.plans.samples import build_samples
@@ -41,7 +42,6 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", cpus, app_name="aerogrid-bench",
                         extra={"spark.driver.memory": f"{heap_gib}g"})
     series = testbed_series()
-    keys = ["station", "indicator", "ts"]
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()
@@ -63,10 +63,10 @@ def main() -> None:
         return out
 
     obs = load_obs(spark, sf_dir, grain)
-    timed("a1_dedup", lambda: run(dedup_first(obs, keys)))
+    timed("a1_dedup", lambda: run(dedup_obs(obs)))
     # the filled grid feeds the model steps: land it once (reliable checkpoint)
     filled = timed("w1w2_densify_fill", lambda: cut_lineage(fill_gaps(cut_lineage(
-        densify(dedup_first(obs, keys), series)))))
+        densify(dedup_obs(obs), series)))))
     timed("a8_wide", lambda: run(to_wide(filled, series)))
     idx = dense_index(filled, "ts")
     timed("w4_lag_window", lambda: run(window_arrays(filled.join(idx, "ts"), ["station", "indicator"], "idx",
@@ -74,7 +74,7 @@ def main() -> None:
     timed("m1_samples", lambda: run(build_samples(filled, series)))
     model = timed("m6_train", lambda: M.train(spark, filled, series))
     timed("m11_forecast", lambda: run(M.forecast(spark, filled, model)))
-    hourly = dedup_first(load_obs(spark, sf_dir, 3600), keys)
+    hourly = dedup_obs(load_obs(spark, sf_dir, 3600))
     timed("s5_decode_docs", lambda: run(MP.decode_multipoint(
         cut_lineage(MP.build_documents(hourly, testbed_stations(spark))))))
     timed("j1_full_outer_merge", lambda: run(q_j1(spark, sf_dir)))

@@ -179,9 +179,9 @@ def test_decode_overwrite_keeps_last(spark):
 def test_unknown_coordinate_strict(spark):
     doc = DOC.replace("60.10 24.90 0 60.10 24.90 3600", "60.10 24.90 0 61.00 24.90 3600")
     docs = spark.createDataFrame([(1, 0, doc)], "doc_id bigint, chunk_no int, xml string")
-    assert MP.decode_multipoint(docs).count() == 2     # lenient: the unknown row is dropped
+    assert MP.decode_multipoint(docs, strict=False).count() == 2     # lenient: the unknown row is dropped
     with pytest.raises(Exception):
-        MP.decode_multipoint(docs, strict=True).collect()
+        MP.decode_multipoint(docs).collect()
 
 
 def test_read_table_errors(spark, tmp_path):

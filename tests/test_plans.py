@@ -11,6 +11,7 @@ from aerogrid.operators import project as P
 from aerogrid.operators.aggregates import dedup_first
 from aerogrid.operators.joins import densify
 from aerogrid.operators.windows import fill_gaps, tail_per_key, window_arrays
+from aerogrid.plans.catalog_core import deduped, recent_obs
 from aerogrid.plans.model import latest_rows
 from aerogrid.session import cut_lineage
 from aerogrid.sources import testbed as TB
@@ -45,6 +46,16 @@ def test_dedup_aggregates_before_the_shuffle(spark):
     assert "partial_min_by" in text[ex:], "no partial aggregate below the exchange"
 
 
+def test_dedup_of_fixed_width_columns_does_not_sort(spark):
+    text = plan(deduped(spark, SF_SMALL))
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort " not in text
+
+
+def test_prediction_window_bounds_the_scan(spark):
+    text = formatted(recent_obs(spark, SF_SMALL))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts", text)
+
+
 def test_fill_never_shuffles_rows_by_series_alone(spark):
     dense = cut_lineage(densify(dedup_first(TB.load_obs(spark, SF_SMALL), KEYS), TB.testbed_series()))
     text = plan(fill_gaps(dense))

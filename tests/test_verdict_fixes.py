@@ -10,8 +10,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from aerogrid.operators.joins import densify, series_table
+from aerogrid.operators.aggregates import dedup_first, dedup_last
+from aerogrid.operators.joins import densify, merge_on, resolve_station, series_table
 from aerogrid.operators.windows import window_arrays
 from aerogrid.plans import registry as R
 from aerogrid.plans.model import Model
@@ -109,3 +111,53 @@ def test_late_file_counts_in_hourly_means(spark, tmp_path):
         ingest.hourly_means_stream(spark, str(tmp_path / "in" / "*"), schema, out)
     found = {str(r["window_start"]): (r["mean_value"], r["n"]) for r in ingest.read_hourly_means(spark, out).collect()}
     assert found == {"2024-03-09 10:00:00": (4.0, 1), "2024-03-01 10:00:00": (2.0, 3), "2024-01-01 00:00:00": (7.0, 1)}
+
+
+def test_dedup_takes_one_whole_row_whatever_the_order_columns(spark):
+    rows = [("k", 1, 5, 1.0, 10), ("k", 0, 9, 2.0, 20), ("k", 0, 7, None, 30), ("n", None, 3, 4.0, 40), ("n", 0, None, 5.0, 50)]
+    df = spark.createDataFrame(rows, "key string, chunk_no int, seq long, value double, mark int")
+    first = {r.key: (r.chunk_no, r.seq, r.value, r.mark) for r in dedup_first(df, ["key"]).collect()}
+    last = {r.key: (r.chunk_no, r.seq, r.value, r.mark) for r in dedup_last(df, ["key"], ["chunk_no", "seq"]).collect()}
+    assert first == {"k": (0, 7, None, 30), "n": (None, 3, 4.0, 40)}       # nulls stand first
+    assert last == {"k": (1, 5, 1.0, 10), "n": (0, None, 5.0, 50)}
+    named = df.withColumn("name", F.concat(F.lit("m"), "mark"))            # with a text: the sorted path, the same rows
+    assert {r.key: r.name for r in dedup_first(named, ["key"]).collect()} == {"k": "m30", "n": "m40"}
+
+
+def test_outer_merge_joins_null_keys_and_keeps_one_key_column(spark):
+    a = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "ts int, x string")
+    b = spark.createDataFrame([(1, "p"), (None, "q"), (4, "r")], "ts int, y string")
+    out = merge_on(a, b)
+    assert out.columns == ["ts", "x", "y"]
+    assert set(map(tuple, out.collect())) == {(1, "a", "p"), (None, "b", "q"), (3, "c", None), (4, None, "r")}
+    again = merge_on(a, a.withColumnRenamed("x", "z"))                     # a table with itself
+    assert set(map(tuple, again.collect())) == {(1, "a", "a"), (None, "b", "b"), (3, "c", "c")}
+
+
+def test_unknown_coordinates_raise_unless_asked_not_to(spark):
+    stations = spark.createDataFrame([("A", 60.0, 24.0)], "station string, latitude double, longitude double")
+    points = spark.createDataFrame([(60.0, 24.0), (61.0, 24.0)], "lat double, lon double")
+    with pytest.raises(Exception, match="unknown coordinate"):
+        resolve_station(points, stations).collect()
+    assert [r.station for r in resolve_station(points, stations, strict=False).collect()] == ["A"]
+
+
+def test_document_time_belongs_to_the_only_point(spark):
+    two = ("<gml:Point gml:id='p-1'><gml:name>A</gml:name><gml:pos>60 24</gml:pos></gml:Point>"
+           "<gml:Point gml:id='p-2'><gml:name>B</gml:name><gml:pos>61 24</gml:pos></gml:Point>")
+    kinds = "doc_id long, chunk_no int, xml string"
+    one = spark.createDataFrame([(1, 0, doc(INLINE, "7", positions="", time_position="2024-01-01T05:00:00Z"))], kinds)
+    assert [(r.station, r.ts, r.value) for r in MP.decode_multipoint(one).collect()] == [("A", T0 + dt.timedelta(hours=5), 7.0)]
+    both = spark.createDataFrame([(1, 0, doc(INLINE, "7", positions="", points=two, time_position="2024-01-01T05:00:00Z"))], kinds)
+    with pytest.raises(Exception, match="unknown location"):
+        MP.decode_multipoint(both).collect()
+    assert MP.decode_multipoint(both, strict=False).count() == 0
+
+
+def test_documents_of_an_unknown_kind_raise(spark):
+    known = (1, 0, doc(INLINE, "7"), "urban::MultipointCoverage")
+    kinds = "doc_id long, chunk_no int, xml string, query_id string"
+    assert [r.value for r in MP.decode_routed(spark.createDataFrame([known], kinds)).collect()] == [7.0]
+    for query_id in ("forecast::grid", None):
+        with pytest.raises(Exception):
+            MP.decode_routed(spark.createDataFrame([known, (2, 0, doc(INLINE, "8"), query_id)], kinds)).collect()
