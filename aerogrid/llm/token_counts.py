@@ -7,6 +7,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from aerogrid.llm.common import append_computed
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "majority", "fraction")
-#: Runs of one kind longer than this are slow in the encoder; they are still encoded whole.
+#: White space runs from this length on are cut out before the pattern's look-ahead,
+#: whose backtracking overflows on them.
+LONG_RUN = regex.compile(r"\p{White_Space}{10000,}")
 
 
 class Encoder:
@@ -27,14 +30,27 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.run = tiktoken.Encoding("runs", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
+    def ids(self, text: str) -> np.ndarray:
+        """Tokens of a whole text.  The pattern takes a run of white space as
+        one piece, without its last character where a word follows; very long
+        runs are cut there and encoded as that piece."""
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += [self.bpe.encode_to_numpy(text[at:run.start()], disallowed_special=()),
+                    self.run.encode_to_numpy(text[run.start():end], disallowed_special=())]
+            at = end
+        return np.concatenate([*out, self.bpe.encode_to_numpy(text[at:], disallowed_special=())])
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token, and the one behind its last.  Tokens
         that share a character's bytes both span it."""
-        ends = np.cumsum(self.sizes[self.bpe.encode_to_numpy(text, disallowed_special=())])
+        ends = np.cumsum(self.sizes[self.ids(text)])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         data = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((data & 0xC0) != 0x80) - 1

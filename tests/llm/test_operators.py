@@ -534,6 +534,18 @@ def test_section_tokens_match_brute_force(spark, rule):
         token_counts.section_tokens(docs, RANK_PATH, rule="other")
 
 
+def test_very_long_runs_of_space_are_encoded_whole(monkeypatch):
+    encoder = token_counts.Encoder(RANK_PATH)
+    text = "a b" + " " * 1_000_000 + "x\n" + "\n" * 500_000
+    starts, ends = encoder.spans(text)
+    assert starts[0] == 0 and ends[-1] == len(text) and (starts[1:] == ends[:-1]).all()
+    monkeypatch.setattr(token_counts, "LONG_RUN", token_counts.regex.compile(r"\p{White_Space}{3,}"))
+    rng = random.Random(1)
+    for _ in range(500):                                   # cut runs give the tokens of the plain pattern
+        t = "".join(rng.choice([" ", "   ", "\n", "\x1c", "\x85", "\u3000", "a", "b1", "!", "é"]) for _ in range(rng.randint(0, 14)))
+        assert encoder.ids(t).tolist() == encoder.bpe.encode_ordinary(t)
+
+
 # ------------------------------------------------------------ empty tables --
 
 def test_empty_tables(empty, items):
