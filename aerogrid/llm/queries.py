@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerogrid.llm import bpe, decontaminate, language_id, license_scan, lm_scoring, minhash, quality, simhash, token_counts, url_filter, url_filter_sql
+from aerogrid.llm import bpe, decontaminate, language_id, license_scan, license_scan_sql, lm_scoring, minhash, quality, simhash, token_counts, url_filter, url_filter_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +38,7 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-@query("op1_license_scan")
+@query("op1_license_scan", license_scan_sql.oracle())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page is a file at its host and path; lines come from its HTML."""
     host, path = url_filter.parts(F.col("url"))

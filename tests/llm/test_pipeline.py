@@ -75,6 +75,15 @@ def test_url_filter_equals_its_sql(spark):
     assert all(abs(v[5] - theirs[k][5]) < 1e-8 for k, v in ours.items())
 
 
+def test_license_scan_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF_SMALL}/pages.parquet')")
+    found = queries.op1(spark, SF_SMALL)
+    sql = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE['op1_license_scan']}) x").fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, sql))
+    assert any(r[2] for r in sql)
+
+
 def test_language_is_learned_outside_the_fold_and_right_inside(spark, monkeypatch):
     seen = []
     real = language_id.train
