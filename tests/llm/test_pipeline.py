@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline as P
-from aerogrid.llm import decontaminate, language_id, quality, queries, simhash
+from aerogrid.llm import decontaminate, language_id, license_scan, quality, queries, simhash
 from conftest import SF_SMALL
 
 NATIVE = ["op1_license_scan", "op4_url_filter", "op10_decontamination"]
@@ -75,13 +75,26 @@ def test_url_filter_equals_its_sql(spark):
     assert all(abs(v[5] - theirs[k][5]) < 1e-8 for k, v in ours.items())
 
 
-def test_license_scan_equals_its_sql(spark):
+def test_license_scan_equals_its_sql(spark, tmp_path):
+    mit, gpl, by = (text for name, text in license_scan.TEMPLATES if name in ("MIT", "GPL-3.0", "CC-BY-4.0") and "Released" not in text)
+    page = "<html><script>x = 1;</script><title>{}</title><p>some <b>plain</b> words</p><!-- {} --><p>{}</p></html>".format
+    pages = [("http://H.org/a/LICENSE.txt?x", page("t", "", mit)), ("http://h.org/a/b/c/page", page("t", mit, "no statement")),
+             ("http://h.org/a/b/COPYING", page(gpl, "", "more")), ("http://h.org/a/b/own", page("t", "", by)),
+             ("http://h.org/a/b", page("t", "", "body")), ("http://h.org/a/b/", page("t", "", by)), ("http://other.org/", page("t", "", "words")),
+             ("http://h.org/z/both", page("t", mit, mit + "</p><p>" + gpl)), ("http://h.org/z/near", page("t", "", mit.replace("license", "rules"))),
+             ("no scheme", page(mit, "", "")), (None, page("t", "", "x")), ("http://h.org/a/null", None), ("http://h.org/e", "")] * 2
+    spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF_SMALL}/pages.parquet')")
-    found = queries.op1(spark, SF_SMALL)
-    sql = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE['op1_license_scan']}) x").fetchall()
-    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, sql))
-    assert any(r[2] for r in sql)
+    for sf_dir in (str(tmp_path), SF_SMALL):
+        files = f"{sf_dir}/pages.parquet" + ("/*.parquet" if sf_dir != SF_SMALL else "")
+        con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{files}')")
+        found = queries.op1(spark, sf_dir)
+        rows = sorted(map(repr, map(tuple, found.collect())))
+        sql = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE['op1_license_scan']}) x").fetchall()
+        assert rows == sorted(map(repr, sql))
+        if sf_dir != SF_SMALL:
+            assert {r[4] for r in sql} == {"file", "header", "inherited", None}
 
 
 def test_language_is_learned_outside_the_fold_and_right_inside(spark, monkeypatch):
