@@ -10,15 +10,17 @@ suits a scheduled job; a continuous deployment swaps in ``processingTime``.
 from __future__ import annotations
 
 import contextlib
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from aerogrid.functions.scalars import ts_lit
 from aerogrid.session import scratch_path
 from aerogrid.sources.testbed import indicator_of, obs_from_events
 
-WATERMARK = "48 hours"    # the prediction look-back: later copies are not expected
+KEYS = ["station", "indicator", "ts"]   # of an observation
 
 
 def landed_events(spark: SparkSession, folder: str, schema: StructType, name: str = "events.parquet",
@@ -34,10 +36,9 @@ def landed_events(spark: SparkSession, folder: str, schema: StructType, name: st
 def _no_idle_batches(spark: SparkSession):
     """Start a query without the trailing no-data micro-batch.
 
-    These jobs emit rows on arrival (append, or update for the windowed
-    means); the idle batch would only evict expired state, which the next
-    scheduled run does in its first batch.  A query keeps the settings it
-    was started with, so the session's own value is restored at once.
+    The job emits rows on arrival and keeps no state, so the idle batch would
+    do nothing.  A query keeps the settings it was started with, so the
+    session's own value is restored at once.
     """
     key = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(key, None)
@@ -71,18 +72,34 @@ def ingest_observations(spark: SparkSession, folder: str, schema: StructType, ou
 
 def dedup_stream(spark: SparkSession, folder: str, schema: StructType, out: str | None = None,
                  ckpt: str | None = None) -> str:
-    """Drop repeated (station, indicator, ts) within the watermark.
-
-    Semantics: one copy per key survives (any copy, not the first by arrival);
-    state for a key is dropped once the watermark passes it.
+    """One copy per (station, indicator, ts) over all that ever landed.
+
+    Semantics: one copy per key survives (any copy, not the first by arrival).
+    A batch stores its keys that no earlier batch has, in a folder of its own
+    which a replay overwrites; the stored keys between the batch's first and
+    last ``ts`` are what it is compared with.  No state is kept and no
+    watermark passes, so a late or back-filled file loses nothing.  Output of
+    the former file sink cannot be continued; start with new folders.
     """
     out = out or scratch_path(spark, "stream-dedup")
     ckpt = ckpt or out + "-ckpt"
     obs = obs_from_events(landed_events(spark, folder, schema))
-    # watermarks need TIMESTAMP; the UTC session makes the cast the same instant
-    obs = obs.withColumn("event_time", F.col("ts").cast("timestamp"))
-    d = obs.withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["station", "indicator", "ts"])
-    _run(d.drop("event_time").writeStream.format("parquet").outputMode("append"), out, ckpt, spark)
+
+    def write_batch(df: DataFrame, batch_id: int) -> None:
+        own = df.dropDuplicates(KEYS)
+        if batch_id:
+            first, last = df.agg(F.min("ts").cast("string"), F.max("ts").cast("string")).first()
+            stored = df.sparkSession.read.schema(f"{', '.join(f'{c} {t}' for c, t in obs.dtypes)}, batch bigint").parquet(out)
+            stored = (stored.where(F.col("batch") < batch_id)
+                      .where(F.col("ts").between(ts_lit(first), ts_lit(last)) | F.col("ts").isNull()).select(*KEYS))
+            own = own.alias("o").join(stored.alias("s"), functools.reduce(
+                lambda x, y: x & y, [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in KEYS]), "left_anti")
+        own.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = obs.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     return out
 
 

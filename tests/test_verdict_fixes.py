@@ -113,6 +113,32 @@ def test_late_file_counts_in_hourly_means(spark, tmp_path):
     assert found == {"2024-03-09 10:00:00": (4.0, 1), "2024-03-01 10:00:00": (2.0, 3), "2024-01-01 00:00:00": (7.0, 1)}
 
 
+def test_late_file_is_kept_once_by_the_stream_dedup(spark, tmp_path):
+    """Three runs over one landing folder: a back-filled file far older than the
+    first, repeated keys inside and across files, null keys."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    out, seen = str(tmp_path / "out"), {}
+    landings = [[(1, "2024-03-09 10:05", "a", 4.0), (2, "2024-03-09 10:50", "a", 4.5), (3, None, "a", 1.0)],
+                [(4, "2024-01-01 00:00", "a", 7.0), (5, "2024-01-01 00:30", "a", 7.5), (6, "2024-03-09 10:59", "a", 5.0),
+                 (7, "2024-01-01 00:00", None, 8.0), (8, None, "a", 2.0)],
+                [(9, "2024-01-01 00:10", "a", 9.0), (10, "2024-01-01 00:10", None, 9.0), (11, "2023-01-01 05:00", "b", 3.0)]]
+    for no, rows in enumerate(landings):
+        table = pa.table({"event_id": [r[0] for r in rows], "ts": pa.array([r[1] and dt.datetime.fromisoformat(r[1]) for r in rows], pa.timestamp("us")),
+                          "user_id": pa.array([0] * len(rows), pa.int64()), "event_type": pa.array([r[2] for r in rows], pa.string()),
+                          "value": [r[3] for r in rows], "props": pa.nulls(len(rows), pa.string())})
+        (tmp_path / "in" / str(no)).mkdir(parents=True)
+        pq.write_table(table, tmp_path / "in" / str(no) / "events.parquet")
+        ingest.dedup_stream(spark, str(tmp_path / "in" / "*"), schema, out)
+        for i, ts, station, _ in rows:
+            seen.setdefault((station, ts and ts[:13]), set()).add(i)
+        found = spark.read.parquet(out).collect()
+        keys = [(r["station"], r["ts"] and str(r["ts"])[:13]) for r in found]
+        assert len(keys) == len(set(keys)) and set(keys) == set(seen)
+        assert all(r["seq"] in seen[k] for k, r in zip(keys, found, strict=True))
+    values = {r["seq"]: r["value"] for r in found}
+    assert all(values[i] == v for rows in landings for i, _, _, v in rows if i in values)
+
+
 def test_dedup_takes_one_whole_row_whatever_the_order_columns(spark):
     rows = [("k", 1, 5, 1.0, 10), ("k", 0, 9, 2.0, 20), ("k", 0, 7, None, 30), ("n", None, 3, 4.0, 40), ("n", 0, None, 5.0, 50)]
     df = spark.createDataFrame(rows, "key string, chunk_no int, seq long, value double, mark int")
