@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -48,6 +49,9 @@ SWITCH = 8.0             # nats for changing the language between two words
 CACHE_WORDS = 200_000
 BLOCK_WORDS = 2_000_000  # words whose emissions are held at once
 SCRIPT_SHARE = 0.01      # of a language's words, for a script to belong to it
+WINDOW = 20              # words judged together, whether they are of their label's language at all
+EVIDENCE = 8             # words in a learned script that a window needs to be judged
+SPREADS = 1.0            # standard deviations of a learned n-gram's log-probability that a window's mean may lie below
 
 
 def script_of(word: str) -> str:
@@ -123,6 +127,7 @@ class Model:
     langs: list[str]
     logp: np.ndarray                 # (BUCKETS, languages)
     scripts: dict[str, np.ndarray]   # script -> which languages use it
+    least: np.ndarray                # per language: the mean log-probability of an n-gram below which text is not of it
 
 
 def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -143,8 +148,11 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
         scripts.setdefault(row["key"], np.zeros(len(langs)))[index[row["lang"]]] = row["n"]
     words = np.maximum(sum(scripts.values(), np.zeros(len(langs))), 1)
     allowed = {s: n / words >= SCRIPT_SHARE for s, n in scripts.items()}
-    return Model(langs, np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32),
-                 {s: a for s, a in allowed.items() if a.any()})
+    logp = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS))
+    share = grams / np.maximum(grams.sum(axis=0), 1)
+    mean = (share * logp).sum(axis=0)
+    spread = np.sqrt((share * (logp - mean) ** 2).sum(axis=0))
+    return Model(langs, logp.astype(np.float32), {s: a for s, a in allowed.items() if a.any()}, mean - SPREADS * spread)
 
 
 class Labeller:
@@ -158,6 +166,7 @@ class Labeller:
         self.ids = _Ids()
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
         self.sizes = np.zeros(0, np.int64)
+        self.foreign = np.zeros(0, bool)      # in a script that no language uses
 
     def learn(self) -> None:
         """Score the words that got a number since the last call: the sum of
@@ -173,26 +182,46 @@ class Labeller:
         allowed = np.array([self.model.scripts.get(script_of(w), anywhere) for w in new])
         self.scores = np.concatenate([self.scores, np.where(allowed, score, np.float32(-1e6))])
         self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
+        self.foreign = np.concatenate([self.foreign, [script_of(w) not in self.model.scripts for w in new]])
 
     def labels(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the language index and the letters of each word."""
-        out: list = [None] * len(texts)
+        return [(path, self.sizes[own]) for path, own in self.numbered(texts)]
+
+    def identified(self, texts: list[str | None]) -> list[float]:
+        """For each text the share of its letters in words that are of a learned
+        language: in a learned script, and in a window of words that is about as
+        likely under its labels as what was learned.  A window with few words
+        in a learned script is not judged."""
+        return [self.share(path, own) for path, own in self.numbered(texts)]
+
+    def share(self, path: np.ndarray, own: np.ndarray) -> float:
+        if not len(own):
+            return 0.0
+        sizes, foreign = self.sizes[own], self.foreign[own]
+        grams = LONGEST * (sizes + 2) - LONGEST * (LONGEST - 1) // 2
+        over = np.where(foreign, 0.0, self.scores[own, path] - grams * self.model.least[path])
+        starts = np.arange(max(len(own) // WINDOW, 1)) * WINDOW               # the last takes the rest
+        judged = np.add.reduceat((~foreign).astype(np.int64), starts) >= EVIDENCE
+        odd = judged & (np.add.reduceat(over, starts) < 0)
+        window = np.minimum(np.arange(len(own)) // WINDOW, len(starts) - 1)
+        return float(sizes[~(foreign | odd[window])].sum() / sizes.sum())
+
+    def numbered(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the language index and the number of each word; the
+        numbers hold until the next text is asked for."""
         at = 0
         while at < len(texts):
             if len(self.ids) > CACHE_WORDS:
                 self.forget()
-            ids, block, n = [], [], 0
-            while at < len(texts) and (n < BLOCK_WORDS or not block):
+            ids, n = [], 0
+            while at < len(texts) and (n < BLOCK_WORDS or not ids):
                 found = WORD.findall((texts[at] or "").lower())
                 ids.append(np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found)))
-                block.append(at)
                 n += len(found)
                 at += 1
             self.learn()
-            emit, sizes = self.scores, self.sizes
-            for i, path, own in zip(block, self.viterbi(ids, emit), ids, strict=True):
-                out[i] = path, sizes[own]
-        return out
+            yield from zip(self.viterbi(ids, self.scores), ids, strict=True)
 
     def viterbi(self, ids: list[np.ndarray], emit: np.ndarray) -> list[np.ndarray]:
         """Best label sequences of several texts at once, longest first, one
@@ -267,7 +296,9 @@ class _Predict:
                 pa.array([x[2] for x in found], pa.list_(span))]
 
     def keep(self, texts: pa.Array) -> pa.Array:
-        return pa.array([lang != "und" and share >= self.min_share for lang, share, _ in self.summary(texts)], pa.bool_())
+        if not self.labeller.model.langs:
+            return pa.array([False] * len(texts), pa.bool_())
+        return pa.array([share > 0 and share >= self.min_share for share in self.labeller.identified(texts.to_pylist())], pa.bool_())
 
 
 SPANS = ArrayType(StructType([StructField("lang", StringType()), StructField("first_word", IntegerType()),
@@ -288,7 +319,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_share: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns kept, whose text has a language with at
-    least ``min_share`` of its letters; null and letterless texts go."""
+    """Rows of ``docs``, all columns kept, with at least ``min_share`` of their
+    letters in words of learned languages, of one or of many; null and
+    letterless texts go, and texts mostly in a script that was not learned or
+    far less likely than learned text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return filter_texts(docs, text_col, _Predict(shared, "keep", min_share))

@@ -396,6 +396,28 @@ def test_language_of_nothing(empty, docs):
     assert kept == sum(any(c.isalpha() for c in r[1] or "") for r in rows())
 
 
+def test_mixed_texts_are_kept_and_unlearned_ones_go(spark):
+    stems = {"a1": "al bo ci do ne ra", "b1": "schr wand kraf zwei tz eich", "c1": "ty py ky vy wyn fyr", "ru": "дом мир хлеб вод ст ия"}
+    rng = random.Random(12)
+
+    def prose(lang, n):
+        return " ".join("".join(rng.choices(stems[lang].split(), k=rng.randint(1, 3))) for _ in range(n))
+
+    learned = [(i, prose(lang, 300), lang) for i, lang in enumerate(list(stems) * 10)]
+    texts = {"two": prose("a1", 60) + " " + prose("b1", 60), "three": " ".join(prose(x, 60) for x in ("a1", "b1", "c1")),
+             "four": " ".join(prose(x, 40) for x in stems), "halves and a few": " ".join([prose("a1", 60), prose("b1", 8), prose("c1", 60)]),
+             "some unlearned": prose("a1", 90) + " καλημερα κοσμε" * 10, "short": "alciq", "one": prose("c1", 25),
+             "greek": "καλημερα κοσμε " * 30, "thai": "สวัสดี", "mostly greek": prose("a1", 10) + " καλημερα κοσμε" * 30,
+             "salad": " ".join("".join(rng.choices("qxjvgmhuq", k=6)) for _ in range(60)), "digits": "12 -- 3", "null": None}
+    docs = spark.createDataFrame(learned, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    found = language_id.keep_identified(spark.createDataFrame(list(texts.items()), "name string, text string"), model)
+    assert {r["name"] for r in found.collect()} == {"two", "three", "four", "halves and a few", "some unlearned", "short", "one"}
+    top = {r["name"]: r["score"] for r in language_id.predict(spark.createDataFrame(list(texts.items()), "name string, text string"), model, ["name"]).collect()}
+    assert top["three"] < 0.5 and top["halves and a few"] < 0.5 and top["greek"] > 0.5      # the top language's share says otherwise
+    assert language_id.keep_identified(docs, model).count() == len(learned)
+
+
 # ------------------------------------------------------------ fingerprints --
 
 def test_fingerprint_edits_match_brute_force(docs):
