@@ -2,7 +2,9 @@
 templates, then inheritance from the nearest ancestor directory.  DataFrame
 functions only.
 
-Every line of a whole file is a candidate header.  Terms are weighted by
+Every line of a whole file is a candidate header, and so is every run of
+consecutive sentences (``license_texts``), compared also with titles, standard
+headers and whole licence texts.  Terms are weighted by
 their rarity among the templates; a word that no template has weighs as the
 rarest.  A line's cosine is bounded from above by the share of its norm in
 template words, which is computed in the row itself; only lines whose bound
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid.llm.common import ascii_lower, land
+from aerogrid.llm.license_texts import run_scores, standard
 
 #: Statements by which texts declare their licence.
 TEMPLATES = [
@@ -99,13 +102,17 @@ def scan_licenses(files: DataFrame, path_col: str, lines_col: str, templates: li
     a file's own statement, ``inherited`` for that of the nearest ancestor
     directory ``from_dir`` with a licence file, null if there is neither.  Of
     several statements the best score wins, then the smallest licence name.
+    With ``templates`` given, the titles, headers and texts of
+    ``license_texts`` are left out.
     Null paths and null lines are read as empty; an empty table gives no row.
     """
+    groups = [standard()] if templates is None else []
     templates = TEMPLATES if templates is None else templates
+    groups.append([(lic, text, False) for lic, text in templates])
     slim = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("file"),
                         F.coalesce(F.col(lines_col), F.array().cast("array<string>")).alias("lines"))
     name = F.element_at(F.split("file", "/"), -1)
-    found = line_scores(slim, templates, threshold)
+    found = line_scores(slim, templates, threshold).unionByName(run_scores(slim, groups, threshold))
     best = F.min_by(F.struct("license", "score"), F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))
     own = land(found.groupBy("file").agg(best.alias("b"), F.max("is_title").alias("titled")).select(
         "file", "b.license", "b.score", (F.col("titled") | name.rlike(FILE_NAME)).alias("speaks")), "license-own")

@@ -9,6 +9,7 @@ import random
 import re
 import struct
 from collections import Counter
+from importlib.resources import files as resources
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from aerogrid.llm import bpe, decontaminate, language_id, license_scan, lm_scoring, minhash, quality, simhash, token_counts, url_filter
+from aerogrid.llm import bpe, decontaminate, language_id, license_scan, license_texts, lm_scoring, minhash, quality, simhash, token_counts, url_filter
 from aerogrid.llm.components import connected_components
 from aerogrid.llm.queries import RULES
 
@@ -354,6 +355,28 @@ def test_license_templates_all_match_themselves(spark):
     assert license_scan.scan_licenses(files.limit(0), "path", "lines").collect() == []
 
 
+def test_license_texts_headers_and_wrapped_statements(spark):
+    def text(name):
+        return (resources("aerogrid.llm") / "licenses" / f"{name}.txt").read_text(encoding="utf-8").split("\n")
+
+    gpl = ["/* This program is free software: you can redistribute it and/or modify", " * it under the terms of the GNU General Public License as published by",
+           " * the Free Software Foundation, either version 3 of the License, or", " * (at your option) any later version.",
+           " * This program is distributed in the hope that it will be useful,", " * but WITHOUT ANY WARRANTY; without even the implied warranty of",
+           " * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", " * GNU General Public License for more details. */"]
+    code = [f"int value{i} = compute{i}(left{i}, right{i});" for i in range(40)]
+    want = {f"t/{x}/LICENSE": (text(x), x, "file") for x in license_texts.TEXTS}
+    want |= {"m/COPYING": (["MIT License", "", "Copyright (c) 2020 Foo Bar", "", *text("MIT")], "MIT", "file"), "m/src/a.c": (code, "MIT", "inherited"),
+             "p/one": (code[:3] + [" ".join(text("MIT"))] + code, "MIT", "header"),             # a whole text in one line amid others
+             "g/x.c": (code[:2] + gpl + code, "GPL-3.0", "header"), "w/y": ([*code[:1], "Licensed under the Apache", "License, Version 2.0.", *code], "Apache-2.0", "header"),
+             "s/z": (["Copyright 2020 Foo. Licensed under the Apache License, Version 2.0."], "Apache-2.0", "header"),
+             "i/q": (["# SPDX-License-Identifier: MIT", *code], "MIT", "header"), "n/none": (code, None, None),
+             "n/words": (["this licence text is not a software license of any version or warranty"], None, None)}
+    want |= {f"d{i}/t": ([t], lic, "file") for i, (lic, t) in enumerate(license_texts.TITLES)}
+    files = spark.createDataFrame([(p, x[0]) for p, x in want.items()], "path string, lines array<string>")
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan_licenses(files, "path", "lines").collect()}
+    assert got == {p: x[1:] for p, x in want.items()}
+
+
 # ------------------------------------------------------------ language ID --
 
 @pytest.fixture(scope="module")
