@@ -133,4 +133,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables that ``cut_lineage`` landed for ``frames``, once
+    nothing reads them any more (a loop's last-but-one table, a stage's
+    input).  Frames that were not landed are left alone."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._scratch = None
