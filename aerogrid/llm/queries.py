@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerogrid.llm import bpe, conversation_repair, decontaminate, language_id, license_scan, license_scan_sql, lm_scoring, minhash, quality, simhash, token_counts, url_filter, url_filter_sql
+from aerogrid.llm import bpe, conversation_repair, decontaminate, language_id, license_scan, license_scan_sql, lm_scoring, minhash, quality, simhash, spelling, token_counts, url_filter, url_filter_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,6 +132,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(read(spark, sf_dir, "documents"), least_n=3, damage_every=97)
+    return spelling.group_variants(words)
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit(read(spark, sf_dir, "conversations"))
