@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerogrid.llm import bpe, conversation_repair, decontaminate, language_id, license_scan, license_scan_sql, lm_scoring, minhash, quality, simhash, spelling, token_counts, url_filter, url_filter_sql
+from aerogrid.llm import bpe, conversation_repair, decontaminate, jaccard_join, language_id, license_scan, license_scan_sql, lm_scoring, minhash, quality, simhash, spelling, token_counts, url_filter, url_filter_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +138,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(words)
 
 
+@query("op12_ngram_jaccard_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read(spark, sf_dir, "documents"), shingle_words=3, num=90, den=100)
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit(read(spark, sf_dir, "conversations"))
