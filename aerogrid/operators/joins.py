@@ -205,6 +205,55 @@ def assign_chunks(obs: DataFrame, end, hours: int, n: int, ts: str = "ts") -> Da
                      & (F.col("chunk_no") >= 0))
 
 
+HOT_CELL_ROWS = 1_000_000   # rows of one time cell that one task joins
+
+
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def in_windows(rows: DataFrame, windows: DataFrame, ts: str = "ts", start: str = "start", end: str = "end",
+               hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+    """Every row with every window that holds its time, both ends inclusive
+    (J9, S11, U1): the columns of ``rows``, then those of ``windows``.
+
+    ``windows`` is a table of any size; lengths may differ, windows may overlap
+    and leave gaps.  A window of length up to 2**k microseconds is filed under
+    the cells of width 2**k that it touches, three at most; a row looks up one
+    cell for each width in use (at most 63, read from the table), and the
+    bounds are checked behind the equi-join.  A window fills at least a
+    quarter of its cells, so few candidates fail the check whatever the
+    lengths.  Cells with more than ``hot_rows`` rows are split by a hash of the
+    row, and their windows copied to each part.  The plan does not grow with
+    the windows.  Null times, null bounds and windows that end before they
+    start match nothing; repeated rows and windows give repeated results.
+    """
+    clash = {c.lower() for c in rows.columns} & {c.lower() for c in windows.columns}
+    if clash:
+        raise ValueError(f"rows and windows share columns: {sorted(clash)}")
+    a, b = _micros(F.col(start)), _micros(F.col(end))
+    filed = windows.withColumn("_from", a).withColumn("_to", b).where(F.col("_from") <= F.col("_to"))
+    filed = filed.withColumn("_level", F.ceil(F.log2((F.col("_to") - F.col("_from") + 1).cast("double"))).cast("int"))
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
+    keep = [F.col(f"`{c}`") for c in (*rows.columns, *windows.columns)]
+    if not levels:
+        return rows.join(windows, F.lit(False))
+
+    def cell(x: Column) -> Column:
+        return F.floor(x / F.expr("shiftleft(1L, _level)").cast("decimal(20,0)")).cast("long")
+
+    filed = filed.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
+    looked = (rows.where(F.col(ts).isNotNull()).withColumn("_at", _micros(F.col(ts)))
+              .withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_cell", cell(F.col("_at"))))
+    hot = looked.groupBy("_level", "_cell").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("_parts")).where("_parts > 1")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = looked.join(hot, ["_level", "_cell"], "left").withColumn("_part", part).drop("_parts")
+    right = filed.join(hot, ["_level", "_cell"], "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return (left.join(right, ["_level", "_cell", "_part"])
+            .where(F.col("_at").between(F.col("_from"), F.col("_to"))).select(*keep))
+
+
 def chunk_windows(spark, end, hours: int, n: int) -> DataFrame:
     """``n`` back-to-back windows of ``hours`` ending at ``end``."""
     end_col = ts_lit(end)

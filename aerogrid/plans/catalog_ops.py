@@ -3,6 +3,7 @@ and scalar functions (SURVEY 2.2-2.7), each over whole driver tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerogrid import constants as K
@@ -17,6 +18,7 @@ from aerogrid.plans.catalog_core import dense, deduped, filled, recent
 from aerogrid.plans.model import history, map_rows, station_snapshot
 from aerogrid.plans.sqlparts import (DEDUP_SQL, FILLED_SQL, GRID_SQL, HIST_SQL, OBS_SQL, STATIONS_SQL,
                                      norm_sql, r6, wide_sql)
+from aerogrid.session import cut_lineage
 from aerogrid.sources.tables import table
 from aerogrid.sources.testbed import load_obs, testbed_series, testbed_stations
 
@@ -274,9 +276,28 @@ WITH d AS ({DEDUP_SQL}), e AS (SELECT max(ts) AS end_ts FROM d),
            FROM (SELECT unnest(range({N_CHUNKS_SQL})) AS i) r, e)
 SELECT d.station, d.indicator, d.ts, d.value, c.chunk_no FROM d JOIN c ON d.ts BETWEEN c.c_start AND c.c_end""")
 def q_j9(spark, sf_dir):
-    d = deduped(spark, sf_dir).select("station", "indicator", "ts", "value", "chunk_no")
-    end = d.select(F.max("ts")).scalar()
-    return J.assign_chunks(d, end, K.CHUNK_HOURS, n_chunks(d))
+    d = deduped(spark, sf_dir).select("station", "indicator", "ts", "value")
+    return J.in_windows(d, _chunks(spark, sf_dir)).drop("start", "end")
+
+
+def _station_days(obs):
+    """Windows that differ in length, overlap and leave gaps: from the first to
+    the last observation of a station on each day."""
+    return obs.groupBy(F.col("station").alias("window_station"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"))
+
+
+@register("j9_windows_from_table", f"""
+WITH d AS ({DEDUP_SQL}),
+     w AS (SELECT station AS window_station, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, min(ts) AS start, max(ts) AS "end"
+           FROM d GROUP BY 1, 2)
+SELECT w.window_station, w.day, w.start, w."end", count(*) AS n_rows, count(DISTINCT d.station) AS n_stations,
+       {r6('avg(d.value)')} AS mean_value
+FROM d JOIN w ON d.ts BETWEEN w.start AND w."end" GROUP BY 1, 2, 3, 4""")
+def q_j9_table(spark, sf_dir):
+    d = cut_lineage(deduped(spark, sf_dir).select("station", "ts", "value"))
+    return J.in_windows(d, cut_lineage(_station_days(d))).groupBy("window_station", "day", "start", "end").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("station").alias("n_stations"), rnd(F.avg("value")).alias("mean_value"))
 
 
 @register("s11_chunk_windows", f"""
@@ -285,6 +306,11 @@ SELECT CAST(i AS INTEGER) AS chunk_no, end_ts - to_hours(CAST(({K.CHUNK_HOURS} *
        end_ts - to_hours(CAST(({K.CHUNK_HOURS} * i) AS BIGINT)) AS "end"
 FROM (SELECT unnest(range({N_CHUNKS_SQL})) AS i) r, e""")
 def q_s11(spark, sf_dir):
+    return _chunks(spark, sf_dir)
+
+
+def _chunks(spark, sf_dir):
+    """The fetch windows as a table, back from the last observation to the first."""
     obs = load_obs(spark, sf_dir)
     end = obs.select(F.max("ts")).first()[0]   # one scalar parameter
     return J.chunk_windows(spark, end, K.CHUNK_HOURS, n_chunks(obs))
@@ -487,12 +513,22 @@ SELECT d.station, d.indicator, d.ts, d.value, c.chunk_no
 FROM d JOIN c ON d.ts BETWEEN c.c_start AND c.c_end
 QUALIFY row_number() OVER (PARTITION BY d.station, d.indicator, d.ts ORDER BY c.chunk_no, d.seq) = 1""")
 def q_u1(spark, sf_dir):
-    o = load_obs(spark, sf_dir).select("station", "indicator", "ts", "value", "chunk_no", "seq")
-    n = n_chunks(o)
-    tagged = J.assign_chunks(o, o.select(F.max("ts")).scalar(), K.CHUNK_HOURS, n)
-    chunks = [tagged.where(F.col("chunk_no") == c) for c in range(n)]   # one frame per fetch
-    merged = O.union_chunks(chunks)
-    return A.dedup_first(merged, ["station", "indicator", "ts"], ["chunk_no", "seq"]).drop("seq")
+    o = load_obs(spark, sf_dir).select("station", "indicator", "ts", "value", "seq")
+    return O.union_windows(o, _chunks(spark, sf_dir)).drop("seq")
+
+
+@register("u1_union_windows_from_table", f"""
+WITH d AS ({OBS_SQL}),
+     w AS (SELECT row_number() OVER (ORDER BY day DESC, station) AS chunk_no, start, "end" FROM
+           (SELECT station, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, min(ts) AS start, max(ts) AS "end" FROM d GROUP BY 1, 2) g)
+SELECT d.station, d.indicator, d.ts, d.value, d.seq, w.chunk_no FROM d JOIN w ON d.ts BETWEEN w.start AND w."end"
+QUALIFY row_number() OVER (PARTITION BY d.station, d.indicator, d.ts ORDER BY w.chunk_no, d.seq) = 1""")
+def q_u1_table(spark, sf_dir):
+    """Windows by day and station, newest first: each row is kept once, with the newest window that holds it."""
+    o = load_obs(spark, sf_dir).select("station", "indicator", "ts", "value", "seq")
+    newest = Window.orderBy(F.col("day").desc(), "window_station")   # one row per station and day
+    w = cut_lineage(_station_days(o)).withColumn("chunk_no", F.row_number().over(newest).cast("long"))
+    return O.union_windows(o, w.select("chunk_no", "start", "end"))
 
 
 @register("u2_label_union", f"""
