@@ -168,8 +168,9 @@ def column_stats(long: DataFrame, idx: str, value: str) -> DataFrame:
 
 
 def regression_metrics(pairs: DataFrame, target: str = "target", y: str = "y",
-                       yhat: str = "yhat") -> DataFrame:
-    """MAE, MSE, RMSE over all outputs; R2 per output then averaged.
+                       yhat: str = "yhat", by: Sequence[str] = ()) -> DataFrame:
+    """MAE, MSE, RMSE over all outputs; R2 per output then averaged (A14, A15),
+    for the whole frame or for each group of ``by``.
 
     ``pairs`` is long: one row per (sample, target).  SStot = 0 gives R2 = 1
     when the fit is exact, else 0.
@@ -177,18 +178,18 @@ def regression_metrics(pairs: DataFrame, target: str = "target", y: str = "y",
     err = F.col(y) - F.col(yhat)
     # one pass: SStot = n * var_pop(y), which Spark merges with a stable
     # (Welford/Chan) update, so no second pass over centred values is needed
-    per_target = pairs.groupBy(target).agg(
+    per_target = pairs.groupBy(*by, target).agg(
         F.sum(err * err).alias("ss_res"),
         (F.var_pop(F.col(y)) * F.count(F.lit(1))).alias("ss_tot"),
         F.count(F.lit(1)).alias("n"),
         F.sum(F.abs(err)).alias("s_abs"))
     r2 = per_target.select(
-        target, "ss_res", "n", "s_abs",
+        *by, target, "ss_res", "n", "s_abs",
         F.when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
         .otherwise(F.lit(1.0) - F.col("ss_res") / F.col("ss_tot")).alias("r2"))
-    tot = r2.agg(F.sum("s_abs").alias("s_abs"), F.sum("ss_res").alias("ss_res"),
+    tot = r2.groupBy(*by).agg(F.sum("s_abs").alias("s_abs"), F.sum("ss_res").alias("ss_res"),
                  F.sum("n").alias("n"), F.avg("r2").alias("r2_score"))
-    return tot.select((F.col("s_abs") / F.col("n")).alias("mae"),
+    return tot.select(*by, (F.col("s_abs") / F.col("n")).alias("mae"),
                       (F.col("ss_res") / F.col("n")).alias("mse"),
                       F.sqrt(F.col("ss_res") / F.col("n")).alias("rmse"),
                       F.col("r2_score"))

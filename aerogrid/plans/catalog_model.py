@@ -6,14 +6,15 @@ from __future__ import annotations
 import datetime as dt
 import math
 import zlib
-from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from aerogrid import constants as K
 from aerogrid.catalog import register
 from aerogrid.functions import scalars as S
 from aerogrid.operators import aggregates as A
+from aerogrid.plans import grouped as G
 from aerogrid.plans import model as M
 from aerogrid.plans import registry as R
 from aerogrid.plans.catalog_core import filled, recent
@@ -146,6 +147,29 @@ def q_m4(spark, sf_dir):
     return spark.createDataFrame(rows, "target int, intercept double, idx int, coef double")
 
 
+_REGION_SQL = f"""
+WITH v AS (SELECT station, ts, list(value ORDER BY CASE indicator {' '.join(f"WHEN '{ind}' THEN {i}" for i, ind in enumerate(K.INDICATORS))} END) AS vec
+           FROM ({FILLED_SQL}) f GROUP BY station, ts),
+     w AS (SELECT station, row_number() OVER o - 1 AS idx,
+                  list(vec) OVER (PARTITION BY station ORDER BY ts ROWS BETWEEN {T} PRECEDING AND 1 PRECEDING) AS lag,
+                  list(vec) OVER (PARTITION BY station ORDER BY ts ROWS BETWEEN CURRENT ROW AND {N_STEPS - 1} FOLLOWING) AS lead
+           FROM v WINDOW o AS (PARTITION BY station ORDER BY ts)),
+     s AS (SELECT station, idx - {T} AS sample_id, flatten(lead) AS y FROM w WHERE len(lag) = {T} AND len(lead) = {N_STEPS}),
+     n AS (SELECT count(DISTINCT sample_id) AS n FROM s)
+SELECT station AS region, CAST(unnest(range(len(y))) AS INTEGER) AS target, unnest(y) AS v
+FROM s, n WHERE sample_id < n.n - n.n // {K.N_SPLITS + 1}"""
+
+
+@register("m4_region_models", f"""
+SELECT region, target, {r6('avg(v)')} AS intercept, count(*) AS n_train, {T * len(K.INDICATORS) + len(K.TIME_FEATURES)} AS n_coef
+FROM ({_REGION_SQL}) r GROUP BY region, target""")
+def q_m4_regions(spark, sf_dir):
+    """A model per station of its own three series, all from one moment aggregate."""
+    coef, stats = G.fit_regions(G.region_samples(filled(spark, sf_dir), K.INDICATORS))
+    return coef.join(stats, "region").select("region", "target", (F.round("intercept", 6) + 0.0).alias("intercept"),
+                                             F.col("n").alias("n_train"), F.size("coef").alias("n_coef"))
+
+
 @register("m5_predict")
 def q_m5(spark, sf_dir):
     m = trained(spark, sf_dir)
@@ -176,8 +200,6 @@ def q_m7(spark, sf_dir):
         "target", (F.round("intercept", 6) + 0.0).alias("intercept"), F.size("coef").alias("n_coef"))
 
 
-RUNS_AT_ONCE = 4
-
 # SQL twin of the registry rows ``weekly_registry`` writes: the versions depend
 # on the grid's first and last timestamp (week ends counted back from the last).
 REGISTRY_SQL = f"""
@@ -206,19 +228,25 @@ def _back_fill(spark, sf_dir) -> str:
     weeks = max(1, math.ceil((end - begin) / dt.timedelta(hours=K.CHUNK_HOURS)) - (K.TRAIN_CHUNKS - 1))
     root = scratch_path(spark, "registry")
 
-    def run_week(w: int):
-        w_end = end - dt.timedelta(hours=K.CHUNK_HOURS * w)
-        w_start = w_end - dt.timedelta(hours=K.CHUNK_HOURS * K.TRAIN_CHUNKS)
-        part = f.where(F.col("ts").between(S.ts_lit(w_start), S.ts_lit(w_end)))
-        m = M.train(spark, part, testbed_series(), T, N_STEPS, K.LASSO_ALPHA, run_id=f"week-{weeks - w:03d}")
-        return w, w_end, m
-
-    # independent runs: submitted from driver threads, Spark schedules them together
-    with ThreadPoolExecutor(max_workers=RUNS_AT_ONCE) as pool:
-        for w, w_end, m in pool.map(run_week, range(weeks)):
-            stage = K.STAGE_NONE if w == 0 else (K.STAGE_PRODUCTION if w == 1 else "Archived")
-            created = int(w_end.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-            R.save_model(spark, m, root, version=weeks - w, stage=stage, created_ms=created)
+    def back(hours) -> Column:
+        return S.ts_lit(end) - F.make_dt_interval(F.lit(0), hours)
+
+    w = F.lit(weeks) - F.col("grp")
+    windows = spark.range(1, weeks + 1).select(
+        F.col("id").alias("grp")).select("grp", back((w + K.TRAIN_CHUNKS) * K.CHUNK_HOURS).alias("start"), back(w * K.CHUNK_HOURS).alias("end"))
+    runs = G.train_windows(f, testbed_series(), windows, T, N_STEPS, K.LASSO_ALPHA)
+    run_id = F.concat(F.lit("week-"), F.lpad(F.col("grp").cast("string"), 3, "0")).alias("run_id")
+    created = F.unix_millis(F.col("end").cast("timestamp"))
+    stage = F.when(w == 0, K.STAGE_NONE).when(w == 1, K.STAGE_PRODUCTION).otherwise("Archived")
+    features = [f"{ind}_{st}" for st, ind in testbed_series()]
+    meta = windows.select(run_id, F.lit(T).alias("training_hours"), F.lit(N_STEPS).alias("n_steps"),
+                          F.array(*map(F.lit, features)).alias("features"), F.array(*map(F.lit, K.TIME_FEATURES)).alias("features_additional"),
+                          F.lit(K.MODEL_TYPE).alias("model_type"), F.lit(float(K.LASSO_ALPHA)).alias("alpha"), created.alias("created_ms"))
+    scaler = runs.stats.select(run_id, F.posexplode(F.arrays_zip("mean", "std")).alias("idx", "s")).select("run_id", "idx", "s.mean", "s.std")
+    metrics = runs.metrics.select(run_id, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in K.METRIC_NAMES])))
+    versions = windows.select(F.lit(K.MODEL_NAME).alias("name"), F.col("grp").cast("int").alias("version"), run_id, stage.alias("stage"),
+                              created.alias("creation_timestamp"))
+    R.save_runs(root, runs.coef.withColumn("run_id", run_id), scaler, metrics, meta, versions)
     return root
 
 

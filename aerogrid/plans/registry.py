@@ -60,6 +60,17 @@ def save_model(spark: SparkSession, model: Model, root: str, version: int, stage
         .write.mode("append").parquet(_path(root, "model_versions"))
 
 
+def save_runs(root: str, coef: DataFrame, scaler: DataFrame, metrics: DataFrame, meta: DataFrame, versions: DataFrame) -> None:
+    """Write the tables of many runs at once (M7, M9): frames with the columns
+    of the tables, ``run_id`` among them.  The metadata comes last but for the
+    versions, so a run that is listed was saved whole."""
+    for table, df in zip(("model_coef", "model_scaler", "run_metrics", "model_meta"), (coef, scaler, metrics, meta), strict=True):
+        names = [c.split()[0] for c in RUN_TABLES[table].split(", ")]
+        (df.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id").parquet(_path(root, table)))
+    versions.select("name", "version", "run_id", "stage", "creation_timestamp").write.mode("append").parquet(_path(root, "model_versions"))
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     reader = spark.read.schema(RUN_TABLES[table]) if table in RUN_TABLES else spark.read
     return reader.parquet(_path(root, table))
