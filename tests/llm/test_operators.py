@@ -223,6 +223,22 @@ def test_contamination_is_the_same_without_broadcast(leaky, items, monkeypatch):
     assert sorted(got, key=key) == sorted((slow_contamination(r, ITEMS)[0] for r in LEAKY), key=key)
 
 
+@pytest.mark.parametrize("limit", [2_000_000, -1])
+def test_items_that_share_a_prompt(spark, monkeypatch, limit):
+    """3,000 items with one prompt: their ids are held once, not with each window or hit."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    prompt = " ".join(f"ask{i}" for i in range(16))
+    many = [(i, f"{prompt} {i} answer") for i in range(3000)] + [(5000, "one two")]
+    texts = [(1, prompt), (2, f"{prompt} 17 answer and more"), (3, " ".join(prompt.split()[:9])), (4, "it is one two"), (5, None), (2, f"{prompt} 17 answer and more")]
+    frames = (spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(many, "item_id long, text string"))
+    got = [tuple(r) for r in decontaminate.contamination(*frames).collect()]
+    assert {(r[0], r[2], r[3]) for r in got} == {(1, 16, 3000), (2, 18, 3000), (3, 0, 0), (4, 2, 1), (5, 0, 0)} and len(got) == 6
+    ids = hashlib.sha256(",".join(sorted(str(i) for i in range(3000))).encode()).hexdigest()
+    assert {r[4] for r in got if r[0] in (1, 2)} == {ids}
+    known, members = decontaminate.item_sets(decontaminate.benchmark_windows(frames[1]))
+    assert "items" not in known.columns and members.count() < 4 * 3001
+
+
 def test_decontaminate_documents_and_spans(leaky, items):
     kept = decontaminate.decontaminate(leaky, items)
     assert kept.columns == leaky.columns
