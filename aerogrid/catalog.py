@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from aerogrid.plans import catalog_core, catalog_docs, catalog_fixed, catalog_io, catalog_model, catalog_ops  # noqa: F401
+    from aerogrid.plans import catalog_core, catalog_docs, catalog_fixed, catalog_io, catalog_model, catalog_more, catalog_ops  # noqa: F401

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -91,6 +91,26 @@ def collect_by_key(df: DataFrame, key: str, order: str, cols: Sequence[str], nam
     return df.groupBy(key).agg(F.array_sort(F.collect_list(st)).alias(name))
 
 
+def collect_chunks(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], size: int = 1000,
+                   block: str = "day", name: str = "rows") -> DataFrame:
+    """Rows per key as sorted arrays of at most ``size`` rows: ``(key, chunk, rows)``
+    with chunks numbered from 0 in order (A4, S9 for a history of any length).
+
+    ``order`` starts with a time.  Rows are numbered per key and day, days are
+    offset by the rows of the key's earlier days (one row per key and day), so
+    no window holds a key's whole history and no array is unbounded.
+    """
+    b = df.withColumn("_b", F.date_trunc(block, F.col(order[0])))
+    own = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
+    days = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = b.groupBy(key, "_b").agg(F.count("*").alias("_n")).select(
+        F.col(key).alias("_k"), F.col("_b").alias("_d"), F.coalesce(F.sum("_n").over(days), F.lit(0)).alias("_off"))
+    rows = b.withColumn("_r", own)
+    rows = rows.join(off, rows[key].eqNullSafe(F.col("_k")) & rows["_b"].eqNullSafe(F.col("_d"))).withColumn("pos", F.col("_off") + F.col("_r"))
+    st = F.struct("pos", *[F.col(c) for c in dict.fromkeys([*order, *cols])])
+    return rows.groupBy(key, F.floor(F.col("pos") / size).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(st)).alias(name))
+
+
 def profile(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Row count, min/max timestamp and column count in one row."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),

@@ -19,6 +19,7 @@ from aerogrid.functions.scalars import ts_lit
 
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 << 20
+HOT_CELL_ROWS = 1_000_000   # rows of one time or map cell that one task joins
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
@@ -56,6 +57,30 @@ def merge_all(dfs: Sequence[DataFrame], on: str = "ts") -> DataFrame:
     return reduce(lambda a, b: merge_on(a, b, on), dfs)
 
 
+def merge_unique(dfs: Sequence[DataFrame], on: str = "ts") -> DataFrame:
+    """Outer merge of many tables that are unique on ``on`` (J1): the rows of
+    all of them, tagged, in one union and one aggregate, so one exchange
+    whatever the number of tables.  Null keys match each other.  A key that
+    stands twice in one table raises, since a join would multiply its rows;
+    tables that share a column besides the key raise as well."""
+    names = [c for df in dfs for c in df.columns if c != on]
+    if len({c.lower() for c in names}) < len(names):
+        raise ValueError("tables share columns besides the key")
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                   [df.withColumn("_src", F.lit(i)) for i, df in enumerate(dfs)])
+    bit = F.expr("shiftleft(1L, _src % 62)")
+    twice = None
+    for g in range(0, len(dfs), 62):   # in each 62 tables a key's bits add up without a carry unless one repeats
+        mine = F.when(F.floor(F.col("_src") / 62) == g // 62, bit)
+        bad = F.sum(mine) != F.bit_or(mine)
+        twice = bad if twice is None else twice | bad
+    out = union.groupBy(on).agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in names],
+                                F.coalesce(twice, F.lit(False)).alias("_twice"))
+    key = F.when(F.col("_twice"), F.raise_error(F.concat(F.lit("repeated key "), F.coalesce(F.col(f"`{on}`").cast("string"), F.lit("NULL"))))
+                 .cast(out.schema[on].dataType)).otherwise(F.col(f"`{on}`"))
+    return out.select(key.alias(on), *[F.col(f"`{c}`") for c in names])
+
+
 def series_table(obs: DataFrame, station: str = "station", indicator: str = "indicator") -> DataFrame:
     """Distinct (station, indicator) pairs of the observations, as a table."""
     return obs.select(station, indicator).distinct()
@@ -134,6 +159,47 @@ def within_bbox(stations: DataFrame, box, lat: str = "latitude", lon: str = "lon
     return stations.where(F.col(lat).between(lat_min, lat_max) & F.col(lon).between(lon_min, lon_max))
 
 
+def in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon", hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+    """Every point with every box that holds it, edges included (J2, P9 for any
+    number of points and boxes): the columns of both.
+
+    ``boxes`` has ``lat_min, lat_max, lon_min, lon_max`` (``bbox_columns``).  A
+    box is filed under the square cells it touches of the power of two next
+    above its longer side, nine at most; a point looks up one cell for each
+    width in use, and the edges are checked behind the equi-join.  Cells with
+    more than ``hot_rows`` points are split by a hash of the point.  Points
+    and boxes with a null or NaN coordinate match nothing."""
+    edges = ["lat_min", "lat_max", "lon_min", "lon_max"]
+    clash = {c.lower() for c in points.columns} & {c.lower() for c in boxes.columns}
+    if clash:
+        raise ValueError(f"points and boxes share columns: {sorted(clash)}")
+
+    def known(cols: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+
+    side = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"), F.lit(2.0 ** -20))
+    filed = boxes.where(known(edges) & (F.col("lat_min") <= F.col("lat_max")) & (F.col("lon_min") <= F.col("lon_max")))
+    filed = filed.withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
+    if not levels:
+        return points.join(boxes, F.lit(False))
+
+    def cell(x) -> Column:
+        return F.floor(F.col(x).cast("double") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+
+    filed = filed.withColumn("_row", F.explode(F.sequence(cell("lat_min"), cell("lat_max"))))
+    filed = filed.withColumn("_cell", F.explode(F.sequence(cell("lon_min"), cell("lon_max"))))
+    looked = (points.where(known([lat, lon])).withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
+              .withColumn("_row", cell(lat)).withColumn("_cell", cell(lon)))
+    key = ["_level", "_row", "_cell"]
+    hot = looked.groupBy(*key).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("_parts")).where("_parts > 1")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = looked.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    right = filed.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    inside = F.col(lat).between(F.col("lat_min"), F.col("lat_max")) & F.col(lon).between(F.col("lon_min"), F.col("lon_max"))
+    return left.join(right, [*key, "_part"]).where(inside).select(*[F.col(f"`{c}`") for c in (*points.columns, *boxes.columns)])
+
+
 def obs_in_box(obs: DataFrame, stations: DataFrame, box, station: str = "station") -> DataFrame:
     """Observations whose station lies in the box: left semi join.
 
@@ -205,9 +271,6 @@ def assign_chunks(obs: DataFrame, end, hours: int, n: int, ts: str = "ts") -> Da
                      & (F.col("chunk_no") >= 0))
 
 
-HOT_CELL_ROWS = 1_000_000   # rows of one time cell that one task joins
-
-
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 

@@ -93,19 +93,33 @@ def require_no_empty_series(filled: DataFrame, keys: Sequence[str] = ("station",
 
 
 def ffill_table(df: DataFrame, cols: Sequence[str], ts: str = "ts", tiebreak: Sequence[str] = (),
-                block: str = "hour") -> DataFrame:
+                block: str = "hour", super_block: str = "month") -> DataFrame:
     """Table-wide forward fill after sorting by time only (W3, kept for parity).
 
-    Values leak across stations, as in the original.  Runs blocked like
-    ``fill_gaps`` with no series key; hour blocks keep one window partition
-    to the rows of one hour (bounded by the number of stations), and only the
-    one-row-per-hour summaries are ordered without a partition key.
+    Values leak across stations, as in the original.  A prefix scan for all
+    columns at once: windows over the rows of one hour (bounded by the number
+    of stations), a summary row per hour with the last value of each column,
+    carried within its month, and a row per month, carried over all months.
+    The number of exchanges does not depend on the number of columns.
     """
-    out = df
-    for c in cols:
-        out = fill_gaps(out, keys=[], ts=ts, value=c, backward=False, block=block, order=tiebreak)
-        out = out.drop("is_filled")
-    return out
+    cols, order = list(cols), [ts, *tiebreak]
+    if not cols:
+        return df
+    b = df.withColumn("_blk", F.date_trunc(block, F.col(ts)))
+    w = Window.partitionBy("_blk").orderBy(*order).rowsBetween(UNB, 0)
+    own = b.select("*", *[F.last(F.col(f"`{c}`"), ignorenulls=True).over(w).alias(f"_own{i}") for i, c in enumerate(cols)])
+    place = F.col(ts) if not tiebreak else F.struct(*[F.col(c) for c in order])
+    hours = b.groupBy("_blk").agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), place)).alias(f"_v{i}")
+                                    for i, c in enumerate(cols)]).withColumn("_sup", F.date_trunc(super_block, F.col("_blk")))
+    months = hours.groupBy("_sup").agg(*[F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col("_blk"))).alias(f"_m{i}")
+                                         for i in range(len(cols))])
+    before = Window.orderBy("_sup").rowsBetween(UNB, -1)          # one row per month
+    months = months.select("_sup", *[F.last(f"_m{i}", ignorenulls=True).over(before).alias(f"_m{i}") for i in range(len(cols))])
+    within = Window.partitionBy("_sup").orderBy("_blk").rowsBetween(UNB, -1)
+    hours = hours.select("_blk", "_sup", *[F.last(f"_v{i}", ignorenulls=True).over(within).alias(f"_h{i}") for i in range(len(cols))])
+    carry = hours.join(months, "_sup").select("_blk", *[F.coalesce(f"_h{i}", f"_m{i}").alias(f"_c{i}") for i in range(len(cols))])
+    filled = {c: F.coalesce(f"_own{i}", f"_c{i}") for i, c in enumerate(cols)}
+    return own.join(carry, "_blk", "left").select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
 def with_row_index(rows: DataFrame, ts: str = "ts", block: str = "day", name: str = "idx") -> DataFrame:

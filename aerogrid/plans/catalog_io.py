@@ -118,10 +118,12 @@ def q_t1(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("t2_stream_dedup", f"SELECT DISTINCT station, indicator, ts FROM ({OBS_SQL}) o")
+@register("t2_stream_dedup", f"""
+SELECT station, indicator, ts, value, seq FROM ({OBS_SQL}) o
+QUALIFY row_number() OVER (PARTITION BY station, indicator, ts ORDER BY chunk_no, seq) = 1""")
 def q_t2(spark, sf_dir):
     out = ingest.dedup_stream(spark, sf_dir, EVENTS_SCHEMA)
-    return spark.read.parquet(out).select("station", "indicator", "ts")
+    return ingest.read_dedup(spark, out).select("station", "indicator", "ts", "value", "seq")
 
 
 @register("t3_hourly_means", f"""

@@ -209,7 +209,7 @@ def q_j1(spark, sf_dir):
 
 
 def _station_frames(spark, sf_dir):
-    d = deduped(spark, sf_dir)
+    d = cut_lineage(deduped(spark, sf_dir).select("station", "indicator", "ts", "value"))
     frames = []
     for s, *_ in K.TESTBED_STATIONS:
         w = d.where(F.col("station") == s).groupBy("ts").pivot("indicator", K.INDICATORS).agg(F.first("value"))
@@ -230,7 +230,7 @@ def _merge_stations_sql():
 
 @register("j1_merge_stations", _merge_stations_sql())
 def q_j1b(spark, sf_dir):
-    return J.merge_all(_station_frames(spark, sf_dir), "ts")
+    return J.merge_unique(_station_frames(spark, sf_dir), "ts")
 
 
 @register("j2_obs_in_box", f"""

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, MapType, StringType, StructField, Stru
 from aerogrid import constants as K
 from aerogrid.functions import scalars as S
 from aerogrid.operators.aggregates import regression_metrics
-from aerogrid.operators.project import require_nonempty
+from aerogrid.operators.project import require_nonempty, require_rows
 from aerogrid.operators.windows import rows_at_latest
 from aerogrid.plans.lasso import coef_arrays, fit_scaled_lasso, predict
 from aerogrid.plans.samples import build_samples, require_samples, time_split, wide_rows
@@ -103,13 +103,14 @@ def latest_rows(filled: DataFrame, series: Sequence[tuple[str, str]], k: int, ts
 
 
 def forecast(spark: SparkSession, filled: DataFrame, model: Model | None, at=None, ts: str = "ts",
-             align_time_features: bool = False, clip_at_zero: bool = False) -> DataFrame:
+             align_time_features: bool = False, clip_at_zero: bool = False, strict: bool = False) -> DataFrame:
     """Next ``n`` hours for every series from the latest ``T`` rows.
 
     Output ``forecast(at, feature, pollutant, station, hour, timestamp, value)``:
     the latest window is one group of T rows (bounded), the scaled input one
     row, and the prediction is exploded to (step, feature) by index math.
-    Fewer than T rows give an empty forecast.
+    Fewer than T rows give an empty forecast, or with ``strict`` an error that
+    names the rows needed and found.
 
     Quirk switches (defaults keep the original): ``align_time_features``
     takes the time features of the first forecast hour, as training pairs a
@@ -119,6 +120,8 @@ def forecast(spark: SparkSession, filled: DataFrame, model: Model | None, at=Non
     if model is None:
         raise ValueError("Model is not loaded")
     T, n, nf = model.T, model.n, len(model.series)
+    if strict:
+        require_rows(filled.select(ts).distinct(), T, "hourly rows")
     win = latest_rows(filled, model.series, T, ts)
     row = win.agg(F.array_sort(F.collect_list(F.struct(ts, "vec"))).alias("w"),
                   F.max(ts).alias("last_ts"))

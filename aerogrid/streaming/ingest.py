@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aerogrid.functions.scalars import ts_lit
+from aerogrid.operators.aggregates import dedup_first
 from aerogrid.session import scratch_path
 from aerogrid.sources.testbed import indicator_of, obs_from_events
 
 KEYS = ["station", "indicator", "ts"]   # of an observation
+ARRIVAL = ["chunk_no", "seq"]           # which of its copies came first
 
 
 def landed_events(spark: SparkSession, folder: str, schema: StructType, name: str = "events.parquet",
@@ -72,28 +74,33 @@ def ingest_observations(spark: SparkSession, folder: str, schema: StructType, ou
 
 def dedup_stream(spark: SparkSession, folder: str, schema: StructType, out: str | None = None,
                  ckpt: str | None = None) -> str:
-    """One copy per (station, indicator, ts) over all that ever landed.
-
-    Semantics: one copy per key survives (any copy, not the first by arrival).
-    A batch stores its keys that no earlier batch has, in a folder of its own
-    which a replay overwrites; the stored keys between the batch's first and
-    last ``ts`` are what it is compared with.  No state is kept and no
-    watermark passes, so a late or back-filled file loses nothing.  Output of
-    the former file sink cannot be continued; start with new folders.
+    """The first copy per (station, indicator, ts) over all that ever landed,
+    in the order of A1 (``chunk_no``, then ``seq``).
+
+    A batch stores, in a folder of its own which a replay overwrites, the
+    first copy of each of its keys, unless an earlier batch stored one that
+    comes before it; the stored rows between the batch's first and last ``ts``
+    are what it is compared with.  A late file may so store a better copy of a
+    key: readers take the first of the stored ones (``read_dedup``).  No state
+    is kept and no watermark passes, so a late or back-filled file loses
+    nothing.  Output of the former file sink cannot be continued; start with
+    new folders.
     """
     out = out or scratch_path(spark, "stream-dedup")
     ckpt = ckpt or out + "-ckpt"
     obs = obs_from_events(landed_events(spark, folder, schema))
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        own = df.dropDuplicates(KEYS)
+        own = dedup_first(df, KEYS)
         if batch_id:
             first, last = df.agg(F.min("ts").cast("string"), F.max("ts").cast("string")).first()
             stored = df.sparkSession.read.schema(f"{', '.join(f'{c} {t}' for c, t in obs.dtypes)}, batch bigint").parquet(out)
             stored = (stored.where(F.col("batch") < batch_id)
-                      .where(F.col("ts").between(ts_lit(first), ts_lit(last)) | F.col("ts").isNull()).select(*KEYS))
-            own = own.alias("o").join(stored.alias("s"), functools.reduce(
-                lambda x, y: x & y, [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in KEYS]), "left_anti")
+                      .where(F.col("ts").between(ts_lit(first), ts_lit(last)) | F.col("ts").isNull())
+                      .select(*KEYS, F.struct(*ARRIVAL).alias("place")))
+            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in KEYS]
+            before = F.col("s.place") <= F.struct(*[F.col(f"o.{c}") for c in ARRIVAL])
+            own = own.alias("o").join(stored.alias("s"), functools.reduce(lambda x, y: x & y, [*same, before]), "left_anti")
         own.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = obs.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
@@ -103,6 +110,11 @@ def dedup_stream(spark: SparkSession, folder: str, schema: StructType, out: str
     return out
 
 
+def read_dedup(spark: SparkSession, out: str) -> DataFrame:
+    """One row per key over all batches of ``dedup_stream`` so far: the first by arrival."""
+    return dedup_first(spark.read.parquet(out).drop("batch"), KEYS)
+
+
 def hourly_means_stream(spark: SparkSession, folder: str, schema: StructType, out: str | None = None,
                         ckpt: str | None = None) -> str:
     """Hourly tumbling mean per series, as partial sums per micro-batch.
