@@ -21,6 +21,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def distinct_words(text: Column) -> Column:
+    """Distinct runs of letters a-z and digits, A-Z lower-cased."""
+    # a split costs a quarter of extracting every match; only its ends can be empty
+    return F.array_remove(F.array_distinct(F.split(ascii_lower(text), "[^a-z0-9]+")), "")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it until no column has it
     (Spark's column names ignore case)."""

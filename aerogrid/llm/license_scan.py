@@ -22,7 +22,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerogrid.llm.common import ascii_lower, land
+from aerogrid.llm.common import distinct_words, land
 from aerogrid.llm.license_texts import run_scores, standard
 
 #: Statements by which texts declare their licence.
@@ -68,9 +68,8 @@ def line_scores(files: DataFrame, templates: list[tuple[str, str]], threshold: f
     weights, other = weigh(templates)
     squares = F.create_map(*[x for t, w in sorted(weights.items()) for x in (F.lit(t), F.lit(w * w))])
     known = F.array(*[F.lit(t) for t in sorted(weights)])
-    words = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("line")), F.lit("[a-z0-9]+"), F.lit(0)))
     lines = (files.select("file", F.posexplode(F.filter("lines", lambda x: F.trim(x) != "")).alias("at", "line"))
-             .select("file", "at", words.alias("words"))
+             .select("file", "at", distinct_words(F.col("line")).alias("words"))
              .select("file", "at", F.size("words").alias("n"), F.array_intersect("words", known).alias("shared"))
              .where(F.size("shared") > 0)
              .withColumn("inner", F.aggregate("shared", F.lit(0.0), lambda s, t: s + F.element_at(squares, t)))
@@ -111,6 +110,8 @@ def scan_licenses(files: DataFrame, path_col: str, lines_col: str, templates: li
     groups.append([(lic, text, False) for lic, text in templates])
     slim = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("file"),
                         F.coalesce(F.col(lines_col), F.array().cast("array<string>")).alias("lines"))
+    # the lines are read by both halves and made once
+    slim = land(slim.withColumn("lines", F.filter("lines", lambda x: F.trim(x) != "")), "license-lines")
     name = F.element_at(F.split("file", "/"), -1)
     found = line_scores(slim, templates, threshold).unionByName(run_scores(slim, groups, threshold))
     best = F.min_by(F.struct("license", "score"), F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))

@@ -1,9 +1,10 @@
 """Templates of titles, standard headers and whole licence texts, and their
 sparse TF-IDF cosine with runs of consecutive sentences of a file.
 
-A file is looked at if it has a stem of ``KEY``, as every template does.  A run
-reaches a cosine of ``c`` with a template only if it holds words of ``c**2`` of
-the template's squared norm, so a file that does not is out; and since a word
+A run reaches a cosine of ``c`` with a template only if it holds words of
+``c**2`` of the template's squared norm, and it is evidence only if it shares a
+word on licences or three words with it; a file that does not is out, and no
+other file is.  Since a word
 that no template has weighs most, only if such words are at most ``1 / c**2 - 1``
 times as many as the others.  What is left of the runs is compared.
 """
@@ -18,7 +19,7 @@ from importlib.resources import files as resources
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerogrid.llm.common import ascii_lower, land
+from aerogrid.llm.common import distinct_words, land
 
 TITLES = [("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("Apache-2.0", "Apache License Version 2.0"),
           ("MPL-2.0", "Mozilla Public License Version 2.0"), ("GPL-3.0", "GNU General Public License Version 3"),
@@ -42,7 +43,10 @@ HEADERS = [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "
 SPDX = ["MIT", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1",
         "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
 TEXTS = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"]
-KEY = r"(?i)licen[cs]|copyright|permission|permitted|warrant|redistribut|spdx|public\s+domain|cc0"
+#: Words that speak of licences.  A run is evidence for a template if they share one of these, or three words:
+#: "mit" alone reaches a cosine of 0.8 with "MIT License" and is a German preposition.
+KEY = r"licen[cs]|copyright|permission|permitted|warrant|redistribut|spdx|cc0"
+LEAST_SHARED = 3
 EXACT, RATIO = 8, 1.25   # runs of up to EXACT sentences start at each one; longer ones grow by RATIO and start every 1/EXACT of them
 
 
@@ -62,7 +66,7 @@ def constant(spark, rows: list[dict], schema: str) -> DataFrame:
 def run_scores(files: DataFrame, groups: list[list[tuple[str, str, bool]]], threshold: float) -> DataFrame:
     """``(file, is_title, license, score)``: the best score of every template
     that a run of sentences of a row of ``files`` (columns ``file`` and
-    ``lines``) reaches.  ``is_title``: a title or text whose best run begins the
+    ``lines``, none of them blank; a written table) reaches.  ``is_title``: a title or text whose best run begins the
     file, or that the whole file is.  Each group of templates has term weights
     of its own."""
     from aerogrid.llm.license_scan import terms, weigh
@@ -72,7 +76,7 @@ def run_scores(files: DataFrame, groups: list[list[tuple[str, str, bool]]], thre
         weights, other = weigh([(lic, text) for lic, text, _ in group])
         others.append(other * other)
         for term, w in weights.items():
-            known.setdefault(term, {"term": term, "squares": [None] * len(groups), "dots": []})["squares"][g] = w * w
+            known.setdefault(term, {"term": term, "speaks": bool(re.search(KEY, term)), "squares": [None] * len(groups), "dots": []})["squares"][g] = w * w
         for lic, text, speaks in group:
             own = {t: weights[t] ** 2 for t in terms(text)}
             total = sum(own.values())
@@ -80,24 +84,25 @@ def run_scores(files: DataFrame, groups: list[list[tuple[str, str, bool]]], thre
                 known[t]["dots"].append({"t": len(names), "dot": w / math.sqrt(total), "share": w / total})
             names.append({"t": len(names), "license": lic, "speaks": speaks, "g": g})
 
-    def words(text):
-        return F.array_distinct(F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
-
-    lines = F.filter("lines", lambda x: F.trim(x) != "")
-    if all(re.search(KEY, text) for group in groups for _, text, _ in group):
-        files = files.where(F.array_join("lines", "\n").rlike(KEY))
-    rows = land(files.select("file", lines.alias("lines")).withColumn("row", F.monotonically_increasing_id()), "license-rows")
+    rows = files.withColumn("row", F.monotonically_increasing_id())
     table = F.broadcast(constant(spark, list(known.values()),
-                                 "term string, squares array<double>, dots array<struct<t: int, dot: double, share: double>>"))
-    hits = rows.select("row", F.explode(words(F.array_join("lines", "\n"))).alias("term")).join(table, "term")
-    may = (hits.select("row", F.inline("dots")).groupBy("row", "t").agg(F.sum("share").alias("share"))
-           .where(F.col("share") >= threshold ** 2 - 1e-9).groupBy("row").agg(F.collect_list("t").alias("may")))
-    may = land(may, "license-may")
+                                 "term string, speaks boolean, squares array<double>, dots array<struct<t: int, dot: double, share: double>>"))
+    every = F.array_join("lines", "\n")
+
+    def hits_of(some: DataFrame, *keep: str) -> DataFrame:
+        return some.select("row", *keep, F.explode(distinct_words(every)).alias("term")).join(table, "term")
+
+    evidence = (F.count("*") >= LEAST_SHARED) | F.bool_or("says")
+    may = (hits_of(rows).select("row", F.col("speaks").alias("says"), F.inline("dots")).groupBy("row", "t")
+           .agg(F.sum("share").alias("share"), evidence.alias("evidence"))
+           .where(F.col("evidence") & (F.col("share") >= threshold ** 2 - 1e-9)).groupBy("row").agg(F.collect_list("t").alias("may")))
+    rows = land(rows.join(may, "row"), "license-rows")
     of_may = F.exists("dots", lambda d: F.array_contains("may", d["t"]))
-    own = hits.join(may, "row").groupBy("row").agg(F.collect_list("term").alias("own"), F.collect_list(F.when(of_may, F.col("term"))).alias("mine"))
+    own = hits_of(rows, "may").groupBy("row").agg(F.collect_list("term").alias("own"), F.collect_list(F.when(of_may, F.col("term"))).alias("mine"))
     # split at sentence ends; ``n`` sentences, each with its words
     parts = F.flatten(F.transform("lines", lambda x: F.split(x, r"(?<=[.;:!?])\s+")))
-    cut = rows.join(may, "row").join(own, "row").select("row", "file", "may", "own", "mine", F.transform(F.filter(parts, lambda x: F.trim(x) != ""), words).alias("parts"))
+    cut = rows.join(own, "row").select("row", "file", "may", "own", "mine",
+                                       F.transform(F.filter(parts, lambda x: F.trim(x) != ""), distinct_words).alias("parts"))
     cut = cut.withColumn("near", F.transform("parts", lambda p: F.arrays_overlap(p, "mine")))
     steps = [*range(1, EXACT + 1)]
     while steps[-1] < 1 << 30:
@@ -117,7 +122,8 @@ def run_scores(files: DataFrame, groups: list[list[tuple[str, str, bool]]], thre
              .withColumn("dots", F.filter("dots", lambda d: F.array_contains("may", d["t"]))))
     run = ["row", "file", "whole", "size", "at"]
     norms = found.groupBy(*run).agg(F.array(*[F.sum(F.coalesce(F.col("squares")[g], F.lit(o))) for g, o in enumerate(others)]).alias("norms"))
-    dots = found.select(*run, F.inline("dots")).drop("share").groupBy(*run, "t").agg(F.sum("dot").alias("dot"))
+    dots = (found.select(*run, F.col("speaks").alias("says"), F.inline("dots")).groupBy(*run, "t")
+            .agg(F.sum("dot").alias("dot"), evidence.alias("evidence")).where("evidence").drop("evidence"))
     name = F.broadcast(constant(spark, names, "t int, license string, speaks boolean, g int"))
     reached = (dots.join(norms, run).join(name, "t")
                .withColumn("score", F.round(F.col("dot") / F.sqrt(F.element_at("norms", F.col("g") + 1)), 6))

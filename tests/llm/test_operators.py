@@ -386,6 +386,8 @@ def test_license_texts_headers_and_wrapped_statements(spark):
              "g/x.c": (code[:2] + gpl + code, "GPL-3.0", "header"), "w/y": ([*code[:1], "Licensed under the Apache", "License, Version 2.0.", *code], "Apache-2.0", "header"),
              "s/z": (["Copyright 2020 Foo. Licensed under the Apache License, Version 2.0."], "Apache-2.0", "header"),
              "i/q": (["# SPDX-License-Identifier: MIT", *code], "MIT", "header"), "n/none": (code, None, None),
+             "k/bsd": (["BSD 3-Clause", *code], "BSD-3-Clause", "file"), "k/mpl": (["Mozilla Public Version 2.0"], "MPL-2.0", "file"),
+             "k/short": (["MPL-2.0", "see the licence"], "MPL-2.0", "header"), "k2/german": (["und", "mit.", *code, "see the license"], None, None),
              "n/words": (["this licence text is not a software license of any version or warranty"], None, None)}
     want |= {f"d{i}/t": ([t], lic, "file") for i, (lic, t) in enumerate(license_texts.TITLES)}
     files = spark.createDataFrame([(p, x[0]) for p, x in want.items()], "path string, lines array<string>")
