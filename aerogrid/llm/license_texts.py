@@ -47,6 +47,7 @@ TEXTS = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.
 #: "mit" alone reaches a cosine of 0.8 with "MIT License" and is a German preposition.
 KEY = r"licen[cs]|copyright|permission|permitted|warrant|redistribut|spdx|cc0"
 LEAST_SHARED = 3
+BROADCAST_FILES = 1_000_000   # rows of a file number and a few template numbers, about 50 MB
 EXACT, RATIO = 8, 1.25   # runs of up to EXACT sentences start at each one; longer ones grow by RATIO and start every 1/EXACT of them
 
 
@@ -96,7 +97,8 @@ def run_scores(files: DataFrame, groups: list[list[tuple[str, str, bool]]], thre
     may = (hits_of(rows).select("row", F.col("speaks").alias("says"), F.inline("dots")).groupBy("row", "t")
            .agg(F.sum("share").alias("share"), evidence.alias("evidence"))
            .where(F.col("evidence") & (F.col("share") >= threshold ** 2 - 1e-9)).groupBy("row").agg(F.collect_list("t").alias("may")))
-    rows = land(rows.join(may, "row"), "license-rows")
+    may = land(may, "license-may")       # few rows: files with words of a licence; their number is checked
+    rows = land(rows.join(F.broadcast(may) if may.count() <= BROADCAST_FILES else may, "row"), "license-rows")
     of_may = F.exists("dots", lambda d: F.array_contains("may", d["t"]))
     own = hits_of(rows, "may").groupBy("row").agg(F.collect_list("term").alias("own"), F.collect_list(F.when(of_may, F.col("term"))).alias("mine"))
     # split at sentence ends; ``n`` sentences, each with its words
