@@ -14,6 +14,7 @@ from aerogrid.catalog import register
 from aerogrid.operators import aggregates as A
 from aerogrid.plans import model as M
 from aerogrid.plans import registry as R
+from aerogrid.plans import wide_lasso
 from aerogrid.plans.catalog_core import filled, recent
 from aerogrid.plans.catalog_model import FEATURES_SQL, N_FEATURES, N_STEPS, SAMPLES_SQL, T, _train_part, history_of, samples_of, trained
 from aerogrid.plans.lasso import fit_lasso, moments, predict
@@ -176,3 +177,29 @@ def q_m4_kkt(spark, sf_dir):
     good = np.where(active, np.abs(slope - m.alpha * np.sign(m.W)) < 1e-6, np.abs(slope) <= m.alpha + 1e-6).all(axis=1)
     good &= np.abs(st["my"]) < 1e-6            # the free intercept leaves residuals of mean 0
     return spark.createDataFrame([(i, bool(g)) for i, g in enumerate(good)], "target int, optimal boolean")
+
+
+WIDE_T = 336   # two weeks of lags: more features than one Gram holds
+WIDE_ALPHA = 8.0   # above the noise of so many features over a month of samples
+
+
+@register("m4_wide_lasso", f"""
+WITH v AS (SELECT f.ts, list(f.value ORDER BY fe.feature_idx) AS vec
+           FROM ({FILLED_SQL}) f JOIN ({FEATURES_SQL}) fe ON f.station = fe.station AND f.indicator = fe.indicator
+           GROUP BY f.ts),
+     w AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS idx, count(*) OVER () AS rows,
+                  list(vec) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND {N_STEPS - 1} FOLLOWING) AS lead FROM v),
+     y AS (SELECT CAST(unnest(range(len(flatten(lead)))) AS INTEGER) AS target, unnest(flatten(lead)) AS v
+           FROM w WHERE idx >= {WIDE_T} AND len(lead) = {N_STEPS})
+SELECT target, count(*) AS n_train, {WIDE_T * N_FEATURES + len(K.TIME_FEATURES)} AS n_features, {r6('avg(v)')} AS intercept, 0 AS n_broken
+FROM y GROUP BY target""")
+def q_m4_wide(spark, sf_dir):
+    """The Lasso on two weeks of lags, wider than one Gram matrix: samples,
+    intercept per target, and optimality conditions that the fit breaks."""
+    s = cut_lineage(build_samples(filled(spark, sf_dir), testbed_series(), WIDE_T, N_STEPS))
+    d, t = WIDE_T * N_FEATURES + len(K.TIME_FEATURES), N_STEPS * N_FEATURES
+    fit = wide_lasso.fit_wide(spark, s, d, t, WIDE_ALPHA)
+    intercept = F.element_at(F.array(*[F.lit(float(b)) for b in fit.intercept]), F.col("target") + 1)
+    return wide_lasso.broken_conditions(s, fit, d, t, WIDE_ALPHA).select(
+        "target", F.lit(fit.n).cast("long").alias("n_train"), F.lit(d).alias("n_features"),
+        (F.round(intercept, 6) + 0.0).alias("intercept"), F.col("n_broken").cast("int").alias("n_broken"))

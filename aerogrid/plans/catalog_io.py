@@ -21,8 +21,8 @@ from aerogrid.plans.sqlparts import DEDUP_SQL, FILLED_SQL, OBS_SQL, r6, wide_sql
 from aerogrid.session import scratch_path
 from aerogrid.sources import sinks
 from aerogrid.sources.tables import freshness, read_stations, read_table, table
-from aerogrid.sources.testbed import testbed_series
-from aerogrid.streaming import ingest
+from aerogrid.sources.testbed import load_obs, testbed_series
+from aerogrid.streaming import filling, ingest
 
 CSV_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -138,3 +138,13 @@ def q_t3(spark, sf_dir):
     r = ingest.read_hourly_means(spark, out)
     return r.select("window_start", "station", "indicator", (F.round("mean_value", 6) + 0.0).alias("mean_value"), "n")
 
+
+
+@register("w2_incremental_fill", FILLED_SQL)
+def q_w2_landings(spark, sf_dir):
+    """All observations in three landings: even weeks, odd weeks, and late rows of all weeks."""
+    obs, root = load_obs(spark, sf_dir), scratch_path(spark, "filled")
+    late, week = F.col("seq") % 10 == 0, F.weekofyear("ts") % 2
+    for gen, rows in enumerate((~late & (week == 0), ~late & (week == 1), late)):
+        filling.land(obs.where(rows), root, gen, testbed_series())
+    return filling.read_filled(spark, root)

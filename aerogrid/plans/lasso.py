@@ -132,8 +132,9 @@ def _exact_on_support(G: np.ndarray, c: np.ndarray, lam: float, w: np.ndarray) -
 
 
 def coordinate_descent(G: np.ndarray, c: np.ndarray, lam: float, tol: float = 1e-10,
-                       max_iter: int = 20000) -> np.ndarray:
-    """Minimise 1/2 w'Gw - c'w + lam |w|_1 by cyclic coordinate descent.
+                       max_iter: int = 20000, start: np.ndarray | None = None) -> np.ndarray:
+    """Minimise 1/2 w'Gw - c'w + lam |w|_1 by cyclic coordinate descent, from
+    ``start`` or from 0.
 
     Sweeps run over the active set until it settles, then a full sweep checks
     that no inactive coordinate wants to enter.  Tolerances tighten in stages;
@@ -143,8 +144,8 @@ def coordinate_descent(G: np.ndarray, c: np.ndarray, lam: float, tol: float = 1e
     would need many sweeps to reach the same point.
     """
     d = len(c)
-    w = np.zeros(d)
-    Gw = np.zeros(d)
+    w = np.zeros(d) if start is None else np.array(start, dtype=np.float64)
+    Gw = G @ w
     diag = np.diag(G).copy()
     idx_all = np.flatnonzero(diag > 0)
 
@@ -211,6 +212,10 @@ def solve(spark: SparkSession, G: np.ndarray, C: np.ndarray, intercept_base: np.
 def fit_lasso(spark: SparkSession, train: DataFrame, d: int, t: int, alpha: float = 1.0,
               x: str = "x", y: str = "y") -> DataFrame:
     """``model_coef(target int, intercept double, coef array<double>)`` on x as given (M4)."""
+    if max(d, t) > MAX_WIDTH:
+        from aerogrid.plans import wide_lasso
+        fit = wide_lasso.fit_wide(spark, train, d, t, alpha, x, y, scaled=False, width=MAX_WIDTH)
+        return wide_lasso.dense_coef(spark, fit, d)
     st = moments(train, d, t, x, y)
     return solve(spark, st["mxx"], st["mxy"], st["my"], st["mx"], alpha * st["n"])
 
@@ -221,8 +226,13 @@ def fit_scaled_lasso(spark: SparkSession, train: DataFrame, d: int, t: int, alph
 
     Standardising is a diagonal change of basis of the centred moments:
     G = D^-1 Mxx D^-1, C = D^-1 Mxy with D = diag(std); the scaled features
-    have mean 0, so the intercept is the target mean.
+    have mean 0, so the intercept is the target mean.  Wider models go to
+    ``wide_lasso``, which builds no Gram over all features.
     """
+    if max(d, t) > MAX_WIDTH:
+        from aerogrid.plans import wide_lasso
+        fit = wide_lasso.fit_wide(spark, train, d, t, alpha, x, y, width=MAX_WIDTH)
+        return fit.mean.tolist(), fit.std.tolist(), wide_lasso.dense_coef(spark, fit, d)
     st = moments(train, d, t, x, y)
     mean, std = scaler_from_moments(st)
     G = st["mxx"] / np.outer(std, std)
