@@ -9,6 +9,7 @@ import random
 import re
 import struct
 from collections import Counter
+from dataclasses import replace
 from importlib.resources import files as resources
 
 import numpy as np
@@ -533,7 +534,7 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
                                  "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 1) for i in range(0, 800, 2)] + [(3, None, 0), (None, 1, 0)],
                                    "doc_id long, quality int, text int")
-    model = quality.train(docs, labels.where("doc_id % 3 <> 1"), sample=300)
+    model = quality.train(docs, labels.where("doc_id % 3 <> 1"))
     got = {r["doc_id"]: r for r in quality.predict(docs, model, keep=["doc_id"]).collect()}
     right = [got[i]["predicted"] == int(i % 4 > 0) for i in range(800) if i % 3 == 1]
     assert sum(right) / len(right) > 0.95
@@ -550,12 +551,58 @@ def test_quality_without_anything_to_learn(empty, docs, spark):
     assert quality.predict(empty, quality.train(empty, none), keep=["doc_id"]).collect() == []
 
 
+def slow_risk(positive, unlabelled, theta, prior):
+    """The non-negative unbiased risk of the definition, text by text."""
+    loss = lambda x, label: math.log1p(math.exp(-label * sum(a * b for a, b in zip(x, theta, strict=True))))
+    mean = lambda rows, label: sum(loss(x, label) for x in rows) / len(rows)
+    return (prior * mean(positive, 1) + max(0.0, mean(unlabelled, -1) - prior * mean(positive, -1))
+            + quality.RIDGE / 2 * sum(t * t for t in theta))
+
+
 def test_risk_is_that_of_the_definition():
-    """On separable data the fit reaches a small non-negative risk."""
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(1, 1, (400, quality.N_FEATURES)), rng.normal(-1, 1, (400, quality.N_FEATURES))
-    model = quality.fit(good[:200], np.concatenate([good[200:], bad[200:]]), 0.5)
-    assert (model.score(good) > 0.5).mean() > 0.97 and (model.score(bad) < 0.5).mean() > 0.97
+    x = np.column_stack([rng.normal(0, 1, (60, 3)) + np.repeat([[1.0], [-1.0]], 30, axis=0), np.ones(60)])
+    good = np.arange(60) < 12
+    halves = lambda theta: quality.Sums.of(x[:25], good[:25], theta) + quality.Sums.of(x[25:], good[25:], theta)
+    for prior in (0.2, 0.3, 0.5, 0.6, 0.8):
+        theta = quality.minimise(halves, np.zeros(4), prior)
+        plus, minus = halves(theta).parts(prior)
+        least = slow_risk(x[good], x, theta, prior)
+        assert plus + max(0, minus) + quality.RIDGE / 2 * theta @ theta == pytest.approx(least, abs=1e-12)
+        assert minus >= 0 and (minus > 0.1) == (prior <= 0.5)    # the last two run into the bound and stop there
+        if prior <= 0.5:
+            for i in range(4):
+                for d in (-1e-2, 1e-2):
+                    assert slow_risk(x[good], x, theta + d * np.eye(4)[i], prior) >= least - 1e-9
+        assert least <= slow_risk(x[good], x, np.zeros(4), prior)
+
+
+def test_quality_sums_every_row_whatever_the_partitions(spark):
+    """The fit over Spark equals one over the same arrays in memory."""
+    words = ["clear prose about rivers and towns.", "BUY NOW!!! $$$ click", "a b c", ""]
+    texts = [(i, " ".join([words[(i * 7 + j) % 4 if i % 4 else 1] for j in range(3 + i % 5)]) or None) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 3) if i % 4] + [(3, 1), (None, 1), (4, 0)], "doc_id long, quality int")
+    frame = spark.createDataFrame(texts + [(None, "x y")], "doc_id long, text string")
+    one, many = (quality.train(frame.repartition(n), labels) for n in (1, 7))
+    x = np.array([quality.features((t or "").encode()) for _, t in texts + [(None, "x y")]]).astype(np.float16).astype(float)
+    good = np.array([i % 3 == 0 and i % 4 > 0 for i in range(200)] + [False])
+    assert one.mean == pytest.approx(x.mean(axis=0)) and one.prior == pytest.approx(many.prior, abs=0.05)
+    local = replace(one, theta=np.zeros(quality.N_FEATURES + 1))
+    theta = quality.minimise(lambda t: quality.Sums.of(local.standard(x), good, t), local.theta, 0.5)
+    scores = replace(local, theta=theta).score(x)
+    classes = [np.bincount(quality._bins(s), minlength=quality.BINS) for s in (scores[good], scores)]
+    assert quality.best_bin_prior(*classes) == pytest.approx(one.prior, abs=0.05)
+    theta = quality.minimise(lambda t: quality.Sums.of(local.standard(x), good, t), theta, one.prior)
+    assert replace(local, theta=theta).score(x) == pytest.approx(one.score(x), abs=1e-3)
+
+
+def test_prior_needs_no_negatives():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        scores = np.concatenate([rng.beta(8, 2, int(20_000 * share)), rng.beta(2, 8, 20_000 - int(20_000 * share))])
+        count = lambda s: np.bincount(quality._bins(s), minlength=quality.BINS)
+        assert quality.best_bin_prior(count(rng.beta(8, 2, 3_000)), count(scores)) == pytest.approx(share, abs=0.06)
+    assert quality.best_bin_prior(np.zeros(4), np.ones(4)) == 0.5
 
 
 # ------------------------------------------------------------ token counts --
