@@ -72,12 +72,7 @@ AIR_LOOKBACK_MINUTES = 100
 WEATHER_LOOKBACK_MINUTES = 60
 TRAIN_EXTRA_ROWS = 10
 
-# --- test bed: the five event types play the stations (coordinates ours) ---
-TESTBED_STATIONS = [
-    ("click", 100001, 60.1878, 24.9508),
-    ("error", 100002, 60.2191, 24.8130),
-    ("purchase", 100003, 60.1625, 24.6683),
-    ("signup", 100004, 60.1699, 24.9384),
-    ("view", 100005, 60.2925, 25.0442),
-]
+# --- test bed: the five event types play the first five of the monitored stations ---
+TESTBED_STATIONS = [(event, 100001 + i, lat, lon) for i, (event, (_, lat, lon)) in enumerate(
+    zip(["click", "error", "purchase", "signup", "view"], REFERENCE_STATIONS))]
 TESTBED_UNITS = "µg/m³"

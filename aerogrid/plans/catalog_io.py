@@ -62,9 +62,10 @@ def q_s13(spark, sf_dir):
 @register("s14_write_latest", f"SELECT station, indicator, ts, value FROM ({DEDUP_SQL}) d")
 def q_s14(spark, sf_dir):
     d = deduped(spark, sf_dir).select("station", "indicator", "ts", "value")
-    as_of = d.select(F.max("ts")).first()[0]
-    _, latest = sinks.write_latest(d, scratch_path(spark, "latest"), as_of)
-    return spark.read.parquet(latest)
+    as_of = load_obs(spark, sf_dir).select(F.max("ts")).first()[0]
+    path = scratch_path(spark, "latest")
+    sinks.write_latest(d, path, as_of)
+    return sinks.read_latest(spark, path)
 
 
 @register("s3_format_dispatch", """

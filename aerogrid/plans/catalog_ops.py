@@ -127,11 +127,11 @@ SELECT d.station, d.indicator, d.ts, d.value FROM d JOIN l ON d.station = l.stat
 WHERE d.ts >= l.end_ts - INTERVAL {K.AIR_LOOKBACK_MINUTES} MINUTE AND d.ts <= l.end_ts""")
 def q_p10(spark, sf_dir):
     d = deduped(spark, sf_dir)
-    ends = d.groupBy("station").agg(F.max("ts").alias("end_ts"))
+    # duplicates share their time, so the last one needs no dedup: a partial maximum per station
+    ends = load_obs(spark, sf_dir).groupBy("station").agg(F.max("ts").alias("end_ts"))
     start, end = P.lookback(F.col("end_ts"), None, K.AIR_LOOKBACK_MINUTES)
     win = ends.select("station", start.alias("start_ts"), end.alias("end_ts"))
-    # one row per station: a bounded side, counted before broadcast
-    j = d.join(J.broadcast_checked(win), "station")
+    j = d.join(win, "station")
     return j.where(F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select(
         "station", "indicator", "ts", "value")
 

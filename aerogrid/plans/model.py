@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
@@ -207,15 +207,14 @@ def flatten_forecast(doc: DataFrame, block: str = "predictions") -> DataFrame:
 def station_snapshot(hist_long: DataFrame, stations: DataFrame) -> DataFrame:
     """Latest values per station pivoted by pollutant + coordinates.
 
-    Rows at the table-wide latest timestamp (W8), pivot with explicit values,
-    left join from the station dimension: a station without rows keeps NULLs.
+    Rows at the table-wide latest timestamp (W8), one aggregate per station
+    with a value per pollutant, left join from the station dimension: a
+    station without rows keeps NULLs.
     """
     latest = rows_at_latest(hist_long, "timestamp")
-    pol = ["Nitrogen dioxide", "PM10", "PM2.5"]
-    wide = latest.groupBy("station").pivot("pollutant", pol).agg(F.first("value"))
-    ts = latest.groupBy("station").agg(F.max("timestamp").alias("timestamp"))
-    wide = wide.join(ts, "station").select("station", "timestamp", F.col("`Nitrogen dioxide`").alias("no2"),
-                                           F.col("PM10").alias("pm10"), F.col("`PM2.5`").alias("pm25"))
+    of = lambda p: F.max(F.when(F.col("pollutant") == p, F.col("value")))  # noqa: E731 - one row per key at one time
+    wide = latest.groupBy("station").agg(F.max("timestamp").alias("timestamp"), of("Nitrogen dioxide").alias("no2"),
+                                         of("PM10").alias("pm10"), of("PM2.5").alias("pm25"))
     return stations.select("station", "latitude", "longitude").join(wide, "station", "left")
 
 
@@ -228,20 +227,16 @@ def map_rows(snapshot: DataFrame) -> DataFrame:
                            S.pm10_colour(pm10).alias("colour"), F.lit(30).alias("size"))
 
 
-def data_status(datasets: dict[str, DataFrame], T: int = K.TRAINING_HOURS, n: int = K.N_STEPS) -> DataFrame:
+def data_status(rows: DataFrame, members: dict[str, Column], n_columns: int, T: int = K.TRAINING_HOURS,
+                n: int = K.N_STEPS) -> DataFrame:
     """One row per dataset: available, rows, columns, sufficient, min_required.
 
-    Training needs T + n + 10 rows, prediction T + n.
+    ``members`` says of each dataset which of ``rows`` belong to it; all are
+    counted by one aggregate.  Training needs T + n + 10 rows, prediction T + n.
     """
-    parts = []
-    for name, df in datasets.items():
-        need = T + n + (K.TRAIN_EXTRA_ROWS if name == "training" else 0)
-        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("dataset"), (F.col("n_rows") > 0).alias("available"), "n_rows",
-            F.lit(len(df.columns)).alias("n_columns"), F.lit(need).alias("min_required"),
-            (F.col("n_rows") >= need).alias("sufficient")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+    need = {name: T + n + (K.TRAIN_EXTRA_ROWS if name == "training" else 0) for name in members}
+    counts = rows.agg(*[F.count_if(c).alias(name) for name, c in members.items()])
+    each = counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("dataset"), F.col(name).alias("n_rows"),
+                                                     F.lit(need[name]).alias("min_required")) for name in members])))
+    return each.select("dataset", (F.col("n_rows") > 0).alias("available"), "n_rows", F.lit(n_columns).alias("n_columns"),
+                       "min_required", (F.col("n_rows") >= F.col("min_required")).alias("sufficient"))

@@ -30,18 +30,34 @@ def write_total(wide: DataFrame, path: str, kind: str) -> str:
     return target
 
 
-def write_latest(df: DataFrame, path: str, as_of) -> tuple[str, str]:
-    """A timestamped snapshot plus a ``latest`` copy.
+def write_latest(df: DataFrame, path: str, as_of) -> str:
+    """A timestamped snapshot, which becomes the latest table by being complete.
 
-    The snapshot is written once; ``latest`` is copied from the written files
-    (a read of the snapshot), so the input plan runs only once.
+    Nothing is overwritten: a second run of one time gets the next revision.
+    ``read_latest`` takes the newest folder whose job has committed, so a
+    reader beside a write, or after one that failed, finds the table before.
+    One writer at a time; of two with one folder the second raises.
     """
     stamp = as_of.strftime("%Y%m%d_%H%M%S")
-    snap = os.path.join(path, f"snapshot={stamp}")
-    latest = os.path.join(path, "latest")
-    df.write.mode("overwrite").parquet(snap)
-    df.sparkSession.read.parquet(snap).write.mode("overwrite").parquet(latest)
-    return snap, latest
+    revision = len(_glob(df.sparkSession, f"{path}/snapshot={stamp}_*"))
+    snap = f"{path}/snapshot={stamp}_{revision:04d}"
+    df.write.mode("errorifexists").parquet(snap)
+    return snap
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete snapshot of ``write_latest``; without one an error."""
+    done = _glob(spark, f"{path}/snapshot=*/_SUCCESS")
+    if not done:
+        raise FileNotFoundError(f"no complete snapshot in {path}")
+    return spark.read.parquet(max(done).removesuffix("/_SUCCESS"))
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, on the pattern's own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return [f.getPath().toString() for f in found or []]
 
 
 def write_forecast(doc: DataFrame, path: str) -> None:
