@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerogrid.llm import bpe, conversation_repair, decontaminate, jaccard_join, language_id, license_scan, license_scan_sql, lm_scoring, minhash, quality, simhash, spelling, token_counts, url_filter, url_filter_sql
+from aerogrid.llm.common import land
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,8 +58,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.train(docs), keep=["doc_id"])
+    coded = land(lm_scoring.encode(read(spark, sf_dir, "documents"), keep=["doc_id"]), "lm-tokens")
+    return lm_scoring.score_encoded(coded, lm_scoring.train_encoded(coded))
 
 
 @query("op4_url_filter", url_filter_sql.oracle(RULES))

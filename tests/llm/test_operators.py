@@ -500,15 +500,41 @@ def test_fingerprints_of_one_row_and_of_none(spark, empty):
 def test_pseudo_likelihood_matches_a_slow_sum(docs):
     model = lm_scoring.train(docs, top_words=20)
     words = Counter(w for r in rows() for w in lm_scoring.tokens(r[1]))
-    top = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:20]]
-    assert model.vocabulary.words == {w: i for i, w in enumerate(top)}
+    top = sorted(words, key=lambda w: (-words[w], lm_scoring.word_hash(w)))[:20]
+    assert model.vocabulary.top.tolist() == [lm_scoring.word_hash(w) for w in top]
     k = model.vocabulary.size
     table = model.logp.reshape(k + 1, k + 1, k)
     assert np.allclose(np.exp(table).sum(axis=2), 1, atol=1e-4)
+    tail, place = [w for w in words if w not in top], lambda w: lm_scoring.word_hash(w) % len(model.shares)
+    symbol = lambda w: top.index(w) if w in top else 20 + lm_scoring.word_hash(w) % lm_scoring.TAIL
+
+    def share(w):
+        if w in top:
+            return 0.0
+        same = [words[v] for v in tail if place(v) == place(w)]
+        return math.log(sum(same) / len(same) / sum(words[v] for v in tail if symbol(v) == symbol(w)))
+
+    for s in {symbol(w) for w in tail}:     # a symbol's words share all of it
+        assert sum(math.exp(share(w)) for w in tail if symbol(w) == s) == pytest.approx(1)
     for r in lm_scoring.score(docs, model, keep=["doc_id", "text"]).collect():
-        ids = [k, *model.vocabulary.coder().encode(lm_scoring.tokens(r["text"])).tolist(), k]
-        slow = sum(float(table[ids[i - 1], ids[i + 1], ids[i]]) for i in range(1, len(ids) - 1))
-        assert r["n_tokens"] == len(ids) - 2 and r["pll"] == pytest.approx(slow, rel=1e-5, abs=1e-5)
+        found = lm_scoring.tokens(r["text"])
+        ids = [k, *map(symbol, found), k]
+        slow = sum(float(table[ids[i], ids[i + 2], ids[i + 1]]) + share(w) for i, w in enumerate(found))
+        assert r["n_tokens"] == len(found) and r["pll"] == pytest.approx(slow, rel=1e-5, abs=1e-4)
+
+
+def test_rare_words_cost_more_than_prose(spark):
+    """Every word has a probability of its own: a salad of words seen once scores below prose, unseen words below that."""
+    rng = random.Random(5)
+    prose = [sentence(rng, "xx", 60) for _ in range(60)]
+    made = ["".join(rng.choices("bcdfghjk", k=12)) for _ in range(120)]
+    salad = " ".join(made[:60])
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*prose, salad])], "tokens long, text string")
+    model = lm_scoring.train(frame, top_words=2)
+    unseen = spark.createDataFrame([(100, " ".join(made[60:]))], "tokens long, text string")
+    got = {r["tokens"]: r["pll_per_token"] for r in lm_scoring.score(frame.unionByName(unseen), model, keep=["tokens"]).collect()}
+    assert min(got[i] for i in range(60)) > got[60] + 1 and got[100] < min(got[i] for i in range(60))
+    assert len(model.shares) >= 4 * 60
 
 
 def test_network_learns_context():
