@@ -8,18 +8,23 @@ measured size).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid import constants as K
 from aerogrid.functions.scalars import ts_lit
+from aerogrid.session import ship_package
 
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 << 20
 HOT_CELL_ROWS = 1_000_000   # rows of one time or map cell that one task joins
+BOX_EDGES = ["lat_min", "lat_max", "lon_min", "lon_max"]
+MOST_CUTS = 1 << 13         # strips an axis is cut into at most
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
@@ -159,6 +164,10 @@ def within_bbox(stations: DataFrame, box, lat: str = "latitude", lon: str = "lon
     return stations.where(F.col(lat).between(lat_min, lat_max) & F.col(lon).between(lon_min, lon_max))
 
 
+def _known(cols: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+
+
 def in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon", hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Every point with every box that holds it, edges included (J2, P9 for any
     number of points and boxes): the columns of both.
@@ -169,16 +178,13 @@ def in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "
     width in use, and the edges are checked behind the equi-join.  Cells with
     more than ``hot_rows`` points are split by a hash of the point.  Points
     and boxes with a null or NaN coordinate match nothing."""
-    edges = ["lat_min", "lat_max", "lon_min", "lon_max"]
+    edges = BOX_EDGES
     clash = {c.lower() for c in points.columns} & {c.lower() for c in boxes.columns}
     if clash:
         raise ValueError(f"points and boxes share columns: {sorted(clash)}")
 
-    def known(cols: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
-
     side = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"), F.lit(2.0 ** -20))
-    filed = boxes.where(known(edges) & (F.col("lat_min") <= F.col("lat_max")) & (F.col("lon_min") <= F.col("lon_max")))
+    filed = boxes.where(_known(edges) & (F.col("lat_min") <= F.col("lat_max")) & (F.col("lon_min") <= F.col("lon_max")))
     filed = filed.withColumn("_level", F.ceil(F.log2(side)).cast("int"))
     levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
     if not levels:
@@ -189,7 +195,7 @@ def in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "
 
     filed = filed.withColumn("_row", F.explode(F.sequence(cell("lat_min"), cell("lat_max"))))
     filed = filed.withColumn("_cell", F.explode(F.sequence(cell("lon_min"), cell("lon_max"))))
-    looked = (points.where(known([lat, lon])).withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
+    looked = (points.where(_known([lat, lon])).withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
               .withColumn("_row", cell(lat)).withColumn("_cell", cell(lon)))
     key = ["_level", "_row", "_cell"]
     hot = looked.groupBy(*key).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("_parts")).where("_parts > 1")
@@ -200,6 +206,89 @@ def in_boxes(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "
     return left.join(right, [*key, "_part"]).where(inside).select(*[F.col(f"`{c}`") for c in (*points.columns, *boxes.columns)])
 
 
+def strip_codes(cuts: Sequence[float]) -> Callable[[str], Column]:
+    """Column function: a number's strip among sorted ``cuts``, ascending with
+    the number.  A cut is a strip of its own (odd), so are the gaps (even)."""
+    at = np.array(cuts, np.float64)
+
+    @F.pandas_udf("int")
+    def code(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, x, "left") + np.searchsorted(at, x, "right"))
+    return code
+
+
+def _covering(first: Column, last: Column, depth: int) -> Column:
+    """Nodes of the binary tree over codes below ``2 ** depth`` that together
+    hold ``first`` to ``last``, each code once: two a level at most.  A node is
+    ``(2 ** depth + code) >> level`` of its codes."""
+    def at(k: int) -> list[Column]:
+        lo, hi = F.ceil(first / F.lit(1 << k)).cast("int"), F.floor((last + 1) / F.lit(1 << k)).cast("int")
+        return [F.when((lo < hi) & (lo % 2 == 1), lo + (1 << depth - k)), F.when((lo < hi) & (hi % 2 == 1), hi - 1 + (1 << depth - k))]
+    return F.array_compact(F.array(*[n for k in range(depth + 1) for n in at(k)]))
+
+
+def sums_in_boxes(points: DataFrame, boxes: DataFrame, by: Sequence[str], value: str, lat: str = "lat", lon: str = "lon",
+                  cuts: int | None = None, hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+    """Number ``n`` of the pairs of ``in_boxes`` and ``total``, the sum of the
+    points' ``value``, by the boxes' columns ``by``; without the pairs
+    themselves, whose number grows with points times boxes.
+
+    Both axes are cut into strips at quantiles of the points, and points are
+    summed by cell and by every pair of tree nodes above it.  A box takes the
+    nodes that cover its whole cells; only points in the strips that an edge
+    cuts are joined one by one (``in_boxes`` over codes, the edges checked
+    behind it).  A frequent coordinate is a strip of its own and never cut.
+    Sums are of values in the box alone, never differences.  Edges are
+    included; points and boxes with a null or NaN coordinate match nothing;
+    a box row that repeats counts again.  ``cuts`` an axis are by default near
+    a quarter of the cube root of points times boxes."""
+    ship_package(points.sparkSession)
+    by = [by] if isinstance(by, str) else list(by)
+    places = points.where(_known([lat, lon])).select(
+        F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"), F.col(value).alias("_value"))
+    areas = boxes.where(_known(BOX_EDGES)).select(*by, *[F.col(c).cast("double").alias(f"_{c}") for c in BOX_EDGES])
+    areas = areas.where("_lat_min <= _lat_max and _lon_min <= _lon_max")
+    if cuts is None:
+        cuts = min(MOST_CUTS, max(8, round((places.count() * areas.count()) ** (1 / 3) / 4)))
+    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    found = [sorted(set(q)) for q in places.approxQuantile(["_lat", "_lon"], probs, 0.5 / cuts)]
+    depth = max(1, *[(2 * len(q)).bit_length() for q in found])
+    y, x = [strip_codes(q) for q in found]
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))   # few files would leave all that follows to few tasks
+    places, areas = places.repartition(spread), areas.repartition(spread)
+    places = places.withColumn("_y", y("_lat")).withColumn("_x", x("_lon"))
+    for name, code in (("lat", y), ("lon", x)):
+        for end, step in (("min", 1), ("max", -1)):
+            c = f"_{name}_{end}"
+            areas = areas.withColumn(f"{c}_at", code(c))
+            areas = areas.withColumn(f"{c}_in", F.col(f"{c}_at") + F.when(F.col(f"{c}_at") % 2 == 0, step).otherwise(0))
+
+    def above(c: str) -> Column:
+        return F.explode(F.array(*[F.shiftright(F.col(c) + (1 << depth), k) for k in range(depth + 1)]))
+
+    sums = [F.sum("n").alias("n"), F.sum("_value").alias("_value")]
+    cells = places.groupBy("_y", "_x").agg(F.count("*").alias("n"), F.sum("_value").alias("_value"))
+    cells = cells.withColumn("_y", above("_y")).groupBy("_y", "_x").agg(*sums)
+    cells = cells.withColumn("_x", above("_x")).groupBy("_y", "_x").agg(*sums)
+    whole = areas.select(*by, F.explode(_covering(F.col("_lat_min_in"), F.col("_lat_max_in"), depth)).alias("_y"),
+                         _covering(F.col("_lon_min_in"), F.col("_lon_max_in"), depth).alias("_x")).withColumn("_x", F.explode("_x"))
+    # merged: the size of nodes is planned as that of the boxes, which may look small enough to broadcast
+    parts = whole.hint("merge").join(cells, ["_y", "_x"]).select(*by, "n", "_value")
+
+    width = 1 << depth       # strips so far apart that no cell of in_boxes holds two
+    exact = F.col("_lat").between(F.col("_lat_min"), F.col("_lat_max")) & F.col("_lon").between(F.col("_lon_min"), F.col("_lon_max"))
+    for across, along, strip, place, reach in (("lat", "lon", "_y", "_x", "at"), ("lon", "lat", "_x", "_y", "in")):
+        cut = F.filter(F.array_distinct(F.array(f"_{across}_min_at", f"_{across}_max_at")), lambda c: c % 2 == 0)
+        row = (F.col("_cut") * width).cast("double")
+        edge = areas.select("*", F.explode(cut).alias("_cut")).select(
+            *by, *[f"_{c}" for c in BOX_EDGES], row.alias("lat_min"), row.alias("lat_max"),
+            F.col(f"_{along}_min_{reach}").cast("double").alias("lon_min"), F.col(f"_{along}_max_{reach}").cast("double").alias("lon_max"))
+        near = places.select("_lat", "_lon", "_value", (F.col(strip) * width).alias("_strip"), F.col(place).alias("_place"))
+        pairs = in_boxes(near, edge, "_strip", "_place", hot_rows).where(exact)
+        parts = parts.unionByName(pairs.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_value").alias("_value")))
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("_value").alias("total"))
+
+
 def obs_in_box(obs: DataFrame, stations: DataFrame, box, station: str = "station") -> DataFrame:
     """Observations whose station lies in the box: left semi join.
 

@@ -62,6 +62,46 @@ def test_points_in_boxes(spark, hot):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("cuts,hot", [(None, 1_000_000), (3, 10), (60, 1_000_000), (400, 10)])
+def test_sums_in_boxes(spark, cuts, hot):
+    """The sums of the pairs of ``in_boxes``, for any number of strips, frequent coordinates, edges on points and repeated boxes."""
+    rng = random.Random(7)
+    place = lambda top: rng.choice([0.0, -0.0, 5.0, top / 2, rng.randrange(-9, 9), rng.uniform(-top, top)])
+    points = [(place(80), place(170), rng.choice([None, 0.5, rng.randrange(-50, 50)])) for _ in range(400)]
+    points += [(None, 1.0, 1.0), (math.nan, 1.0, 1.0), (1.0, math.nan, 1.0), (1.25, 1.25, None)]
+    boxes = [(7, 1.25, 1.25, 1.25, 1.25), (8, None, 1.0, 0.0, 1.0), (9, 5.0, 1.0, 0.0, 1.0), (10, -90.0, 90.0, -180.0, 180.0), (11, 85.0, 86.0, 0.0, 1.0)]
+    for i in range(90):
+        a, b = place(80), place(170)
+        boxes.append((rng.choice([None, i + 20]), a, a + rng.choice([0, 1, 5.0, rng.uniform(0, 60)]), b, b + rng.choice([0, 4, rng.uniform(0, 150)])))
+    boxes += boxes[20:24]
+    want = {}
+    for box, a, c, d, e in boxes:
+        for y, x, v in points:
+            if None not in (y, x, a) and a <= y <= c and d <= x <= e:
+                n, total = want.get(box, (0, None))
+                want[box] = n + 1, total if v is None else (total or 0.0) + v
+    kind = "lat double, lon double, value double", "box int, lat_min double, lat_max double, lon_min double, lon_max double"
+    rows = [tuple(None if v is None else float(v) for v in r) for r in points], [(r[0], *(None if v is None else float(v) for v in r[1:])) for r in boxes]
+    p, b = (spark.createDataFrame(r, k).repartition(3) for r, k in zip(rows, kind))
+    got = J.sums_in_boxes(p, b, "box", "value", cuts=cuts, hot_rows=hot).collect()
+    assert {r["box"]: r["n"] for r in got} == {k: n for k, (n, _) in want.items()} and len(got) == len(want) > 25
+    assert all(r["total"] == (None if (t := want[r["box"]][1]) is None else pytest.approx(t)) for r in got) and want[7] == (1, None)
+    assert J.sums_in_boxes(p.limit(0), b, "box", "value").collect() == J.sums_in_boxes(p, b.limit(0), "box", "value").collect() == []
+
+
+def test_many_boxes_are_summed_without_their_pairs(spark):
+    """Boxes that each hold most points: rows joined one by one stay far below the pairs."""
+    rng = random.Random(3)
+    points = spark.createDataFrame([(rng.random(), rng.random(), 1.0) for _ in range(4000)], "lat double, lon double, value double")
+    boxes = spark.createDataFrame([(i, rng.random() / 4, 1 - rng.random() / 4, rng.random() / 4, 1 - rng.random() / 4) for i in range(500)],
+                                  "box int, lat_min double, lat_max double, lon_min double, lon_max double")
+    joined, real = [], J.in_boxes
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(J, "in_boxes", lambda *a: joined.append(real(*a)) or joined[-1])
+        n = sum(r["n"] for r in J.sums_in_boxes(points, boxes, "box", "value").collect())
+    assert n == real(points, boxes).count() and len(joined) == 2 and sum(j.count() for j in joined) < n / 5
+
+
 def test_chunks_are_bounded_and_join_to_the_whole(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "a", "a", "b", None]), hours(rng.randrange(0, 90)), i) for i in range(400)]
