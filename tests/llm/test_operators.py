@@ -537,6 +537,58 @@ def test_rare_words_cost_more_than_prose(spark):
     assert len(model.shares) >= 4 * 60
 
 
+@pytest.mark.parametrize("pair_words", [None, 6, 100_000])
+def test_pairs_match_a_slow_mixture(docs, pair_words):
+    """Every token from the words beside it: discounted shares after the left and before the right word, the rest from the network."""
+    plain, model = lm_scoring.train(docs, top_words=20), lm_scoring.train(docs, top_words=20, pair_words=pair_words)
+    texts = [lm_scoring.tokens(r[1]) for r in rows()]
+    words = Counter(w for t in texts for w in t)
+    n = math.isqrt(words.total()) if pair_words is None else pair_words
+    known = set(sorted(words, key=lambda w: (-words[w], lm_scoring.word_hash(w)))[:n])
+    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    sides = [Counter(), Counter()]
+    for p, c in pairs.items():
+        sides[0][p[0]] += c
+        sides[1][p[1]] += c
+    kept = {p: c for p, c in pairs.items() if c >= 2 and known.issuperset(p)}
+    given = [Counter(), Counter()]      # what the kept pairs of a word take
+    for p, c in kept.items():
+        for i in (0, 1):
+            given[i][p[i]] += (c - lm_scoring.DISCOUNT) / sides[i][p[i]]
+
+    def side(i, at, other, base):
+        pair = (at, other) if i == 0 else (other, at)
+        own = (kept[pair] - lm_scoring.DISCOUNT) / sides[i][at] if pair in kept else 0.0
+        return own + (1 - (given[i][at] if at else 0.0)) * base
+
+    assert len(kept) > 5
+    for r in lm_scoring.score(docs, model, keep=["doc_id", "text"]).collect():
+        t = lm_scoring.tokens(r["text"])
+        base = np.exp(plain.token_logp(np.array([lm_scoring.word_hash(w) for w in t], np.int64), np.array([len(t)])), dtype=np.float64)
+        around = [None, *t, None]
+        slow = sum(math.log((side(0, around[i], w, b) + side(1, around[i + 2], w, b)) / 2) for i, (w, b) in enumerate(zip(t, base)))
+        assert r["n_tokens"] == len(t) and r["pll"] == pytest.approx(slow, rel=1e-5, abs=1e-4)
+
+
+def test_words_beyond_the_symbols_are_predicted_from_their_neighbours(spark):
+    """The same words in the corpus's order and shuffled: apart by far, though none is among the most frequent."""
+    rng = random.Random(9)
+    made = ["".join(rng.choices("bcdfghjk", k=9)) for _ in range(400)]
+    phrases = [" ".join(made[i:i + 4]) for i in range(0, 400, 4)]
+    frame = spark.createDataFrame([(i, " ".join(rng.sample(phrases, 20))) for i in range(80)], "doc_id long, text string")
+    model = lm_scoring.train(frame, top_words=2, pair_words=None)
+    assert model.pairs.words.size == math.isqrt(80 * 80)
+    model = lm_scoring.train(frame, top_words=2, pair_words=400)
+    tests = spark.createDataFrame([(0, " ".join(phrases[:20])), (1, " ".join(rng.sample(made[:80], 80)))], "doc_id long, text string")
+    inside, mixed = [r["pll_per_token"] for r in lm_scoring.score(tests, model, keep=["doc_id"]).orderBy("doc_id").collect()]
+    assert inside > mixed + 2
+
+
+def test_pairs_of_nothing(empty, docs):
+    model = lm_scoring.train(empty, pair_words=None)
+    assert all(r["pll_per_token"] <= 0 for r in lm_scoring.score(docs, model, keep=["doc_id"]).collect())
+
+
 def test_network_learns_context():
     k, counts = 4, np.zeros((5, 5, 4), np.int64)
     for left, right, token in ((0, 1, 2), (1, 0, 3), (2, 2, 0), (3, 3, 1)):
